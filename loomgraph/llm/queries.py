@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, fingerprint, mixing
+from loomgraph.llm import bpe, chat, codes, fingerprint, mixing
 from loomgraph.llm.common import table
 
 
@@ -18,6 +18,23 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.read_chats(chat.format_chats(rows.unionByName(probe))))
 
 
+def tokenizer_file(name: str) -> str:
+    """A file of a public tokenizer; the files are on every machine and never copied."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("word_bpe_49k.json")
+    return bpe.digests(bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"), path), path))
+
+
+def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = codes.coded(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -27,7 +44,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op7_source_mixing, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_chat_formatting, op3_bpe_encoding, op5_token_codes, op7_source_mixing, op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
