@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, chat, codes, fingerprint, mixing
+from loomgraph.llm import bpe, chat, codes, fingerprint, media, mixing
 from loomgraph.llm.common import table
 
 
@@ -25,6 +25,10 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.stored(spark, table(spark, sf_dir, "documents")))
+
+
 def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("word_bpe_49k.json")
     return bpe.digests(bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"), path), path))
@@ -44,7 +48,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op3_bpe_encoding, op5_token_codes, op7_source_mixing, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_media_columns, op3_bpe_encoding, op5_token_codes, op7_source_mixing, op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
