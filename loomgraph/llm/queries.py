@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, chat, codes, fingerprint, media, mixing
+from loomgraph.llm import bpe, chat, codes, fingerprint, media, mixing, nearcopy
 from loomgraph.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopy.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -48,7 +52,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_media_columns, op3_bpe_encoding, op5_token_codes, op7_source_mixing, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_media_columns, op3_bpe_encoding, op5_token_codes, op6_near_copies, op7_source_mixing, op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
