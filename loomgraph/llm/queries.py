@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, chat, codes, fingerprint, media, mixing, nearcopy
+from loomgraph.llm import bpe, chat, codes, fingerprint, langid, media, mixing, nearcopy, toxicity
 from loomgraph.llm.common import table
 
 
@@ -47,12 +47,23 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), langid.fold(F.col("doc_id"), 5) == 0
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held)
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), langid.fold(F.col("doc_id"), 4) == 2
+    return langid.predict(docs, langid.learn(docs, ~held)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_media_columns, op3_bpe_encoding, op5_token_codes, op6_near_copies, op7_source_mixing, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_media_columns, op3_bpe_encoding, op5_token_codes, op6_near_copies, op7_source_mixing, op8_toxicity, op9_language_id, op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
