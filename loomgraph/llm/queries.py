@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, chat, codes, fingerprint, langid, media, mixing, nearcopy, toxicity
+from loomgraph.llm import bpe, chat, codes, fingerprint, langid, media, mixing, nearcopy, pii, toxicity
 from loomgraph.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"), path), path))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.detect(table(spark, sf_dir, "documents")))
+
+
 def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = codes.coded(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -63,7 +67,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_media_columns, op3_bpe_encoding, op5_token_codes, op6_near_copies, op7_source_mixing, op8_toxicity, op9_language_id, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_media_columns, op3_bpe_encoding, op4_personal_data, op5_token_codes, op6_near_copies, op7_source_mixing, op8_toxicity, op9_language_id, op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
