@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.bpe import slices
 from loomgraph.llm.common import cut, small_batches, texts
 
-SHINGLE, REGISTERS, BANDS, ROWS = 5, 256, 24, 4
+SHINGLE, REGISTERS, BANDS, ROWS = 5, 512, 24, 4
 BLOCK = 384
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -171,27 +171,30 @@ def _likely(pairs: DataFrame, similarity: float) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, similarity: float) -> DataFrame:
-    """Likely pairs of different components in each bucket; rows: key, n, node, root, sig.
+    """Likely pairs of different components in each bucket; rows: key, band, n, node, root, sig.
 
     A bucket of n nodes has ceil(n / BLOCK) blocks; each task compares two blocks and holds no more than those.
+    A pair that shares several bands is told by the first of them.
     """
     least = _least(similarity)
     nb = F.ceil(F.col("n") / BLOCK).cast("int")
     r = rows.withColumn("nb", nb).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    r = r.withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sig")
+    r = r.withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "own", "node", "root", "sig")
 
     def work(t: pa.Table) -> pa.Table:
         cols = {c: t.column(c).to_pylist() for c in ("node", "root", "own")}
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         roots = np.unique(np.array(cols["root"], dtype=object), return_inverse=True)[1]
-        own, i, j = np.array(cols["own"]), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        own, i, j, band = np.array(cols["own"]), t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("band")[0].as_py()
+        earlier = np.ascontiguousarray(sig[:, : band * ROWS]).view(np.uint64)  # ROWS registers of 16 bits in a word
         a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
         out: tuple[list, list] = ([], [])
         for k, p in enumerate(a):
             q = b[k + 1 :] if i == j else b
             q = q[roots[q] != roots[p]]
-            for x in q[(sig[q] == sig[p]).sum(axis=1) >= least]:
+            q = q[(sig[q] == sig[p]).sum(axis=1) >= least]
+            for x in q[~(earlier[q] == earlier[p]).any(axis=1)]:
                 pair = sorted((cols["node"][p], cols["node"][x]))
                 out[0].append(pair[0])
                 out[1].append(pair[1])
@@ -265,7 +268,7 @@ def _classified(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFram
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = cut(_sign(d), "signed")
     nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
-    member = nodes.select(F.explode("bands").alias("key"), "node")
+    member = nodes.select(F.posexplode("bands").alias("band", "key"), "node")
     sizes = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     member = cut(member.join(sizes, "key"), "member")
     score = member.groupBy("node").agg(F.sum("n").alias("score"))
@@ -280,7 +283,7 @@ def _classified(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFram
     rows = member.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rows = rows.join(open_keys, "key").join(sig, "node")
-    more = cut(_blocks(rows, similarity).distinct(), "more")
+    more = cut(_blocks(rows, similarity), "more")
     new = cut(_verify(more, bags, similarity), "links")
     if not new.isEmpty():
         found = cut(components(links.unionByName(new)), "found")
