@@ -262,7 +262,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", keep: tupl
                 scores.append(min(1.0, float(p[best])))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    d = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("text"))
+    d = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
     types = dict(d.dtypes)
     return d.mapInArrow(work, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string, score double"]))
 

@@ -375,7 +375,7 @@ def detect(docs: DataFrame, field: Field | None = None, keep: tuple[str, ...] =
                 cols.append(pa.array([redact(t, y) for t, (_, y) in zip(said, found, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "base", "spans", *["redacted"] * with_text])
 
-    d = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("text"))
+    d = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"))
     types = dict(d.dtypes)
     return d.mapInArrow(work, ", ".join([*(f"`{c}` {types[c]}" for c in keep), f"base {SPAN}", f"spans {SPAN}", *["redacted string"] * with_text]))
 
