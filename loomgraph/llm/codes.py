@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import sharedfs
-from loomgraph.llm.bpe import Words, slices
+from loomgraph.llm.bpe import Generations, Words, slices
 from loomgraph.llm.common import small_batches, texts, work_dir
 
 MAGIC, BLOCK = b"LOOMDAC1", 512
 #: Tokens after which a file ends; it bounds the memory of a writer or reader.
 FILE_TOKENS = 8_000_000
 NO_ID = -(2**63)
+#: Words after a blank that a worker keeps in each of two generations; signs that may follow a word.
+SPACED_KEPT, SIGNS = 400_000, ".,;:!?#$%&*"
 #: A piece is a run of blanks with the word after it: pre-tokens never reach from a word into blanks.
 PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space beyond blank and newline, or a run of both before a word, where cutting at blanks alone could go wrong.
@@ -117,28 +119,59 @@ def pack(doc_ids: list[int], lengths: list[int], ids: np.ndarray) -> list[bytes]
     return [MAGIC, head.tobytes(), np.array(doc_ids, "<i8").tobytes(), starts.tobytes(), *[x for p in parts for x in p]]
 
 
-def pieces(text: str) -> list[str] | None:
-    """Cut a text where no pre-token of byte-level BPE can cross; None if that isn't sure."""
+def pieces(text: str) -> tuple[list[str], list[str]] | None:
+    """A text as (pieces, words after one blank each), cut where no pre-token of byte-level BPE can cross; None if
+    that isn't sure."""
     if ODD.search(text):
         return None
     if "  " in text or "\n " in text:
-        return PIECE.findall(text)
+        return PIECE.findall(text), []
     first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+    return [first] if first else [], rest
 
 
 class ByteEncoder:
-    """Encodes texts by distinct piece."""
+    """Encodes texts by distinct piece. A new word of letters and punctuation after it is encoded by its two
+    pre-tokens, so a word is encoded once whatever sign follows it."""
 
     def __init__(self, path: str):
         self.words = Words(path)
+        self.after = Generations(SPACED_KEPT)
+
+    def learn(self, lists: list[list[str]]) -> None:
+        """Afterwards ``self.after.young`` has the ids of each word with a blank before it."""
+        self.after.turn()
+        young, old = self.after.young, self.after.old
+        parts, new, signs = [], set(), set()
+        for w in {w for x in lists for w in x if w not in young}:
+            if (found := old.get(w)) is not None:
+                young[w] = found
+                continue
+            base = w.rstrip(SIGNS)
+            if len(base) < len(w) and base.isalpha():
+                signs.add(w[len(base) :])
+                parts.append((w, base, w[len(base) :]))
+                if base not in young:
+                    if (found := old.get(base)) is not None:
+                        young[base] = found
+                    else:
+                        new.add(base)
+            else:
+                new.add(w)
+        self.words.learn([list(signs)])
+        todo = list(new)
+        for i in range(0, len(todo), 20_000):
+            young.update(zip(todo[i : i + 20_000], self.words.encode([" " + w for w in todo[i : i + 20_000]]), strict=True))
+        for w, base, sign in parts:
+            young[w] = young[base] + self.words.memo.young[sign]
 
     def encode(self, some: list[str]) -> list[bytes]:
         cut = [pieces(t) for t in some]
-        self.words.learn(x for x in cut if x)
-        memo = self.words.memo.young
+        self.learn([x[1] for x in cut if x])
+        self.words.learn(x[0] for x in cut if x)
+        plain, after = self.words.memo.young, self.after.young
         odd = [i for i, x in enumerate(cut) if x is None]
-        out = [b"" if x is None else b"".join(map(memo.__getitem__, x)) for x in cut]
+        out = [b"" if x is None else b"".join([*map(plain.__getitem__, x[0]), *map(after.__getitem__, x[1])]) for x in cut]
         for i, ids in zip(odd, self.words.encode([some[i] for i in odd]), strict=True):
             out[i] = ids
         return out
