@@ -27,6 +27,11 @@ def _sub(c: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(by))
 
 
+def _let(c: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
     return _sub(c, r"(?U)^\s+|\s+$", "")
@@ -219,21 +224,21 @@ def search_score(lower: Column, q: str, degree: Column) -> Column:
 
 def is_vacuous(c: Column) -> Column:
     """Region names that say nothing: living people, missing dates, deaths by year, births and deaths of a year."""
-    x = strip(c)
-    low = F.lower(x)
-    says = low.isin("living people", "possibly living people") | F.endswith(low, F.lit("(living people)"))
-    for p in VACUOUS_PARTS:
-        says = says | F.contains(low, F.lit(p))
-    rolls = low.rlike(r"^(?:(?!deaths in ).)*deaths in [0-9]")
-    return says | rolls | (low.rlike(r" (births|deaths)$") & x.rlike("^[0-9]{3}"))
+
+    def says(x: Column) -> Column:
+        low = F.lower(x)
+        found = low.isin("living people", "possibly living people") | F.endswith(low, F.lit("(living people)"))
+        found = found | low.rlike("|".join(VACUOUS_PARTS)) | low.rlike(r"^(?:(?!deaths in ).)*deaths in [0-9]")
+        return found | (low.rlike(r" (births|deaths)$") & x.rlike("^[0-9]{3}"))
+
+    return _let(strip(c), says)
 
 
 def clean_label(c: Column) -> Column:
     """A label without a last bracket that says nothing; null if nothing is left."""
-    x = strip(c)
-    inside = F.regexp_extract(x, r"(?s)\(([^(]*)\)$", 1)
-    x = F.when(F.endswith(x, F.lit(")")) & is_vacuous(inside), strip(_sub(x, r"(?s)\([^(]*\)$", ""))).otherwise(x)
-    return F.when((x != "") & ~is_vacuous(x), x)
+    inside = lambda x: F.regexp_extract(x, r"(?s)\(([^(]*)\)$", 1)
+    short = _let(strip(c), lambda x: F.when(F.endswith(x, F.lit(")")) & is_vacuous(inside(x)), strip(_sub(x, r"(?s)\([^(]*\)$", ""))).otherwise(x))
+    return _let(short, lambda x: F.when((x != "") & ~is_vacuous(x), x))
 
 
 def nickname(c: Column) -> Column:

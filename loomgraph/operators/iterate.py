@@ -77,9 +77,8 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 8) -> D
         c = near.join(own, "id").join(total.withColumnRenamed("community", "to"), "to")
         gain = F.col("links") - resolution * F.col("k") * (F.col("total") - F.when(F.col("to") == F.col("community"), F.col("k")).otherwise(0)) / m2
         c = c.withColumn("gain", gain)
-        stay = -resolution * F.col("k") * 0.0
         pick = c.groupBy("id").agg(F.max(F.struct("gain", (-F.col("to")).alias("minus"))).alias("p"), F.max(F.when(F.col("to") == F.col("community"), F.col("gain"))).alias("stay"))
-        moves = pick.where(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0).where(F.col("p.gain") > F.coalesce("stay", stay)).select("id", (-F.col("p.minus")).alias("new"))
+        moves = pick.where(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0).where(F.col("p.gain") > F.coalesce("stay", F.lit(0.0))).select("id", (-F.col("p.minus")).alias("new"))
         member = cut(member.join(moves, "id", "left").select("id", F.coalesce("new", "community").alias("community")))
         now = modularity(e, member, resolution)
         if now > worth:

@@ -76,7 +76,7 @@ def path_counts(edges: DataFrame, pairs: DataFrame, max_depth: int, banned: Data
                 ends = p.select("pair_id", F.col(goal).alias("v"))
                 step = step.join(banned.select(F.col("id").alias("v")), "v", "left_anti").unionByName(step.join(ends, ["pair_id", "v"], "left_semi").join(banned.select(F.col("id").alias("v")), "v", "left_semi"))
             step = step.join(seen.select("pair_id", "v"), ["pair_id", "v"], "left_anti")
-            level = cut(step.select("pair_id", "v", F.lit(k).alias("d"), F.least("n", F.lit(MOST).cast("decimal(38,0)")).cast("decimal(38,0)").alias("n")))
+            level = cut(step.select("pair_id", "v", F.lit(k).alias("d"), F.least("n", F.lit(str(MOST)).cast("decimal(38,0)")).cast("decimal(38,0)").alias("n")))
             if level.isEmpty():
                 break
             seen = seen.unionByName(level)
@@ -88,8 +88,8 @@ def path_counts(edges: DataFrame, pairs: DataFrame, max_depth: int, banned: Data
     # each shortest path crosses depth ceil(length / 2) from its start exactly once
     cross = met.join(best, ["pair_id", "length"]).where(F.col("d") == F.ceil(F.col("length") / 2))
     product = F.least(F.col("n").cast("double") * F.col("m").cast("double"), F.lit(float(MOST)))
-    exact = F.when(product < 9e15, (F.col("n").cast("bigint") * F.col("m").cast("bigint")).cast("decimal(38,0)")).otherwise(F.lit(MOST).cast("decimal(38,0)"))
-    out = cross.groupBy("pair_id", "length").agg(F.least(F.sum(exact), F.lit(MOST).cast("decimal(38,0)")).alias("paths"))
+    exact = F.when(product < 9e15, (F.col("n").cast("bigint") * F.col("m").cast("bigint")).cast("decimal(38,0)")).otherwise(F.lit(str(MOST)).cast("decimal(38,0)"))
+    out = cross.groupBy("pair_id", "length").agg(F.least(F.sum(exact), F.lit(str(MOST)).cast("decimal(38,0)")).alias("paths"))
     return out.withColumn("paths", F.when(F.col("length") == 0, F.lit(1)).otherwise(F.col("paths")).cast("decimal(20,0)"))
 
 
