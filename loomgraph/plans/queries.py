@@ -9,6 +9,8 @@ from loomgraph.functions import text as T
 from loomgraph.operators import degrees, ingest, iterate, layout, pools, regions, runs
 from loomgraph.operators import search_graph as bfs
 from loomgraph.plans.registry import query
+from loomgraph.sources import sinks
+from loomgraph.streaming import state
 from loomgraph.plans.tablegraph import GRAPH, NODES_SQL, RECURSIVE, SMALL_SQL, edges, nodes, small_edges, table
 
 S = SparkSession
@@ -732,3 +734,51 @@ def columnar_map_json(spark, d):
 @query("SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k, event_type AS class FROM events")
 def event_props(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.col("event_type").alias("class"))
+
+
+# --- streams
+
+
+def event_stream(spark: S, d: str) -> DataFrame:
+    schema = table(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{d}/events.parquet*")
+
+
+def requests(e: DataFrame) -> DataFrame:
+    return e.select(F.col("user_id").alias("client"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("ts"), F.col("event_id").alias("seq"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type AS kind, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def stream_hourly_counts(spark, d):
+    e = event_stream(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"))
+    return state.gathered(state.hourly_counts(e), "complete").withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts) - to_hours(k::INT), '%Y-%m-%d %H') AS start, event_type AS kind, count(*)::BIGINT AS n FROM events, range(0, 2) r(k) GROUP BY 1, 2")
+def sliding_counts(spark, d):
+    e = table(spark, d, "events").select("ts", F.col("event_type").alias("kind"))
+    return state.sliding_counts(e).withColumn("start", F.date_format("start", "yyyy-MM-dd HH"))
+
+
+@query("""WITH e AS (SELECT user_id AS client, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), s AS (SELECT *, sum((p IS NULL OR ts - p >= INTERVAL 2 HOURS)::INT) OVER (PARTITION BY client ORDER BY ts) AS g FROM e)
+SELECT client, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*)::BIGINT AS n FROM s GROUP BY client, g""")
+def sessions(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("client"), "ts")
+    return state.sessions(e).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query()
+def token_bucket(spark, d):
+    return state.token_bucket(requests(table(spark, d, "events")), 3, 1 / 7200)
+
+
+@query()
+def stream_token_bucket(spark, d):
+    return state.gathered(state.token_bucket_stream(requests(event_stream(spark, d)), 3, 1 / 7200), once=True)
+
+
+@query(GRAPH + "SELECT id, title, (SELECT count(*) FROM edges WHERE src = id)::BIGINT AS n FROM nodes")
+def shard_documents(spark, d):
+    """Shard documents, decoded again: every article with its title and number of links."""
+    n = deg(spark, d).select("id", "title", F.col("category").alias("description"), (F.col("size") % 8).alias("flags"), "views", "community", F.col("in_degree").alias("degree"))
+    return sinks.read_shards(sinks.shards(n, edges(spark, d))).select("id", "title", F.size("targets").cast("bigint").alias("n"))
