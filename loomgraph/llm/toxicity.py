@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import small_batches
+from loomgraph.llm.bpe import Generations, slices
+from loomgraph.llm.common import small_batches, texts
 from loomgraph.llm.langid import fold, labelled_sample
+from loomgraph.llm.nearcopy import mix
 
-GRAMS, BUCKETS, DIM, KEPT = (3, 4, 5), 1 << 19, 8, 400_000
+GRAMS, BUCKETS, DIM, KEPT = (3, 4, 5), 1 << 19, 8, 300_000
 #: The sample that the model is fitted on: documents of each label, and words of one document at most.
 DOCS_EACH, WORDS_EACH, EPOCHS, BATCH = 1500, 2000, 5, 32
 #: Table rows that fewer documents of the sample have stay zero.
@@ -31,11 +33,37 @@ SCALE, RATE, SHRINK = 40.0, 0.15, 0.08
 EDGES = ".,;:!?()[]{}\"'*#$%&|"
 
 
-def subwords(word: str) -> list[int]:
-    """Table rows of a word: its n-grams with edge marks, and the word itself; case and edge punctuation don't count."""
-    w = f"<{word.lower().strip(EDGES)[:64]}>"
-    grams = {w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)} | {w}
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in sorted(grams)]
+_P = np.uint64(0x100000001B3)
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(table rows, how many of them each word has): a word's n-grams with edge marks, and the word itself.
+
+    Case and edge punctuation don't count. Hashes are polynomials over code points, for all words at once.
+    """
+    marked = [f"<{w.lower().strip(EDGES)[:64]}>" for w in words]
+    n = np.array([len(w) for w in marked], np.int64)
+    first = np.cumsum(n) - n
+    cp = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    word = np.repeat(np.arange(len(marked)), n)
+    left = np.repeat(first + n, n) - np.arange(len(cp))  # characters from here to the word's end
+    rows, owner = [], []
+    with np.errstate(over="ignore"):
+        h = cp.copy()
+        for g in range(2, max(GRAMS) + 1):
+            h[: len(h) - g + 1] = h[: len(h) - g + 1] * _P + cp[g - 1 :]
+            if g in GRAMS:
+                ok = np.flatnonzero(left >= g)
+                rows.append(mix(h[ok] * _P + np.uint64(g)))
+                owner.append(word[ok])
+        powers = np.multiply.accumulate(np.full(int(n.max(initial=1)), _P))
+        if len(marked):
+            rows.append(mix(np.add.reduceat(cp * powers[np.arange(len(cp)) - np.repeat(first, n)], first)))
+            owner.append(np.arange(len(marked)))
+    at = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+    order = np.argsort(at, kind="stable")
+    flat = np.concatenate(rows)[order] if rows else np.zeros(0, np.uint64)
+    return (flat % np.uint64(BUCKETS)).astype(np.int64), np.bincount(at, minlength=len(marked))
 
 
 @dataclass
@@ -70,7 +98,7 @@ def train(rows: list[tuple[str, int]], odds: float = 1.0, seed: int = 8) -> Mode
         return fit(rows, seed)
     m = fit(rest, seed)
     s = Scorer(m)
-    found = np.array([s.odds(rows[k][0]) for k in back])
+    found = np.array(s.odds([rows[k][0] for k in back]))
     y = np.array([rows[k][1] for k in back])
     weight = np.where(y == 1, odds / (y == 1).sum(), 1 / (y == 0).sum())
     cuts = np.unique(np.concatenate([found, [found.max() + 1]]))
@@ -92,9 +120,9 @@ def fit(rows: list[tuple[str, int]], seed: int) -> Model:
             words = [words[i] for i in r.choice(len(words), WORDS_EACH, replace=False)]
         ids, n = np.unique([names.setdefault(w, len(names)) for w in words] or [names.setdefault("", len(names))], return_counts=True)
         bags.append((ids, (n / n.sum()).astype(np.float32)))
-    grams = [np.array(subwords(w)) for w in names]
-    sizes = np.array([len(g) for g in grams])
-    flat, first = np.concatenate(grams), np.cumsum(sizes) - sizes
+    flat, sizes = subwords(list(names))
+    first = np.cumsum(sizes) - sizes
+    grams = np.split(flat, first[1:])
     in_docs = np.zeros(BUCKETS, np.int64)
     for ids, _ in bags:
         in_docs[np.unique(np.concatenate([grams[k] for k in ids]))] += 1
@@ -145,22 +173,27 @@ def fit(rows: list[tuple[str, int]], seed: int) -> Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.rows, self.bias, self.kept = model.rows(), float(model.bias[1] - model.bias[0]), {}
-
-    def odds(self, text: str) -> float:
-        """Log odds of label 1."""
-        words, kept = text.split(), self.kept
-        if not words:
-            return self.bias
-        total = 0.0
-        for w in words:
-            s = kept.get(w)
-            if s is None:
-                if len(kept) >= KEPT:
-                    kept.clear()
-                s = kept[w] = float(self.rows[subwords(w)].mean())
-            total += s
-        return total / len(words) + self.bias
+        self.rows, self.bias, self.kept = model.rows(), float(model.bias[1] - model.bias[0]), Generations(KEPT)
+
+    def words(self, some: list[str]) -> np.ndarray:
+        """What each word adds to the log odds, before the mean."""
+        flat, sizes = subwords(some)
+        return np.add.reduceat(self.rows[flat].astype(np.float64), np.cumsum(sizes) - sizes) / sizes if some else np.zeros(0)
+
+    def odds(self, some: list[str]) -> list[float]:
+        """Log odds of label 1 for each text."""
+        self.kept.turn()
+        young, old = self.kept.young, self.kept.old
+        cut = [t.split() for t in some]
+        new = []
+        for w in {w for x in cut for w in x if w not in young}:
+            if (found := old.get(w)) is not None:
+                young[w] = found
+            else:
+                new.append(w)
+        for i in range(0, len(new), 20_000):
+            young.update(zip(new[i : i + 20_000], self.words(new[i : i + 20_000]).tolist(), strict=True))
+        return [(sum(map(young.__getitem__, x)) / len(x) if x else 0.0) + self.bias for x in cut]
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -179,7 +212,8 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[
             _SCORERS.clear()
             _SCORERS[key] = Scorer(model)
         for b in batches:
-            odds = np.array([_SCORERS[key].odds(t or "") if model else -np.inf for t in b.column(b.num_columns - 1).to_pylist()], np.float64)
+            said = texts(b.column(b.num_columns - 1))
+            odds = np.array([x for part in slices(said, 1_000_000) for x in _SCORERS[key].odds(part)] if model else [0.0] * len(said), np.float64)
             p = 1 / (1 + np.exp(-np.clip(odds, -500, 500))) if model else np.zeros(len(odds))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], names=[*keep, "score", "predicted"])
 
