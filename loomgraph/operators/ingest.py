@@ -19,7 +19,7 @@ def redirect_closure(pages: DataFrame) -> DataFrame:
     own = pages.select("key", "target").groupBy("key").agg(F.max("target").alias("target"))
     to = own.select(F.col("key").alias("k"), F.col("target").alias("t"))
     r = own.where("target IS NOT NULL").select("key", F.col("target").alias("at"))
-    for _ in range(MORE_HOPS + 1):
+    for _ in range(MORE_HOPS):
         # a redirect moves on; an article, or a missing page, stays
         r = r.join(to, F.col("at") == F.col("k"), "left").select("key", F.when(F.col("t").isNotNull(), F.col("t")).otherwise(F.col("at")).alias("at"))
     alive = own.where("target IS NULL").select(F.col("key").alias("k"))

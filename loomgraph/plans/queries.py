@@ -214,8 +214,8 @@ CHAIN = "p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 <> 0 AND p_partkey
 
 
 @query("WITH " + CHAIN + """, h AS (SELECT k, t AS a FROM p WHERE t IS NOT NULL), h1 AS (SELECT h.k, coalesce(p.t, h.a) a FROM h LEFT JOIN p ON h.a = p.k), h2 AS (SELECT h.k, coalesce(p.t, h.a) a FROM h1 h LEFT JOIN p ON h.a = p.k),
-h3 AS (SELECT h.k, coalesce(p.t, h.a) a FROM h2 h LEFT JOIN p ON h.a = p.k), h4 AS (SELECT h.k, coalesce(p.t, h.a) a FROM h3 h LEFT JOIN p ON h.a = p.k), h5 AS (SELECT h.k, coalesce(p.t, h.a) a FROM h4 h LEFT JOIN p ON h.a = p.k)
-SELECT h5.k AS key, true AS is_redirect, q.k AS final FROM h5 LEFT JOIN p q ON h5.a = q.k AND q.t IS NULL UNION ALL SELECT k, false, k FROM p WHERE t IS NULL""")
+h3 AS (SELECT h.k, coalesce(p.t, h.a) a FROM h2 h LEFT JOIN p ON h.a = p.k), h4 AS (SELECT h.k, coalesce(p.t, h.a) a FROM h3 h LEFT JOIN p ON h.a = p.k)
+SELECT h4.k AS key, true AS is_redirect, q.k AS final FROM h4 LEFT JOIN p q ON h4.a = q.k AND q.t IS NULL UNION ALL SELECT k, false, k FROM p WHERE t IS NULL""")
 def redirect_chain(spark, d):
     k = F.col("p_partkey")
     p = table(spark, d, "part").select(k.alias("key"), F.when((k % 5 != 0) & (k % 3 == 0), k - 1).when(k % 7 == 1, k + 2).alias("target"))
