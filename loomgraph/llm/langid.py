@@ -222,8 +222,13 @@ def fold(doc_id: Column, n: int) -> Column:
 def labelled_sample(docs: DataFrame, label: str, each: int, where: Column) -> list[tuple[str, object]]:
     """(text, label) of at most ``each`` rows a label, those with the least hash of doc_id; chosen on narrow rows."""
     d = docs.where(where & F.col(label).isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    best = d.select("doc_id", label).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each).select("doc_id").distinct()
+    # only rows with hashes below about three times the needed share are ranked, so no task sees a whole label
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    narrow = d.select("doc_id", label, h.alias("_h"))
+    n = narrow.groupBy(label).agg(F.count("*").alias("_n"))
+    low = narrow.join(n, label).where(F.col("_h").cast("double") * F.col("_n") <= (3.0 * each + 30) * (1 << 40))
+    order = Window.partitionBy(label).orderBy("_h", "doc_id")
+    best = low.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each).select("doc_id").distinct()
     rows = d.join(best, "doc_id", "left_semi").select("doc_id", "text", label).collect()
     seen: dict = {}
     for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
