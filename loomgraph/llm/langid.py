@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.bpe import slices
-from loomgraph.llm.common import small_batches
+from loomgraph.llm.common import cut, small_batches
 
 UNIT, HIDDEN, KEPT = 30, 12, 300_000
 #: The sample that the network is fitted on: documents of each language, units in all.
@@ -229,6 +229,7 @@ def labelled_sample(docs: DataFrame, label: str, each: int, where: Column) -> li
     low = narrow.join(n, label).where(F.col("_h").cast("double") * F.col("_n") <= (3.0 * each + 30) * (1 << 40))
     order = Window.partitionBy(label).orderBy("_h", "doc_id")
     best = low.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each).select("doc_id").distinct()
+    best = cut(best, "sample")  # of known size: the planner broadcasts it if small, so the texts stay where they are
     rows = d.join(best, "doc_id", "left_semi").select("doc_id", "text", label).collect()
     seen: dict = {}
     for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
