@@ -225,8 +225,13 @@ def labelled_sample(docs: DataFrame, label: str, each: int, where: Column) -> li
     # only rows with hashes below about three times the needed share are ranked, so no task sees a whole label
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     narrow = d.select("doc_id", label, h.alias("_h"))
-    n = narrow.groupBy(label).agg(F.count("*").alias("_n"))
-    low = narrow.join(n, label).where(F.col("_h").cast("double") * F.col("_n") <= (3.0 * each + 30) * (1 << 40))
+    # one row a class, as many as the model has outputs; as literals they filter where the table is read, without a join
+    least = {r[0]: (3 * each + 30) * (1 << 40) // r[1] for r in narrow.groupBy(label).count().collect()}
+    if not least:
+        return []
+    kind = dict(narrow.dtypes)[label]
+    bound = F.create_map(*[x for k, v in least.items() for x in (F.lit(k).cast(kind), F.lit(min(v, 1 << 40)))])
+    low = narrow.where(F.col("_h") <= F.try_element_at(bound, F.col(label)))
     order = Window.partitionBy(label).orderBy("_h", "doc_id")
     best = low.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each).select("doc_id").distinct()
     best = cut(best, "sample")  # of known size: the planner broadcasts it if small, so the texts stay where they are
