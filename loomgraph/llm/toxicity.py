@@ -30,40 +30,84 @@ DOCS_EACH, WORDS_EACH, EPOCHS, BATCH = 1500, 2000, 5, 32
 LEAST_DOCS = 4
 #: Toxic words are a few in hundreds, so a mean over words is scaled up before the softmax.
 SCALE, RATE, SHRINK = 40.0, 0.15, 0.08
+#: Characters hashed at once.
+PIECE = 1 << 20
+#: Longer words are not kept by workers from batch to batch.
+LONG = 256
 EDGES = ".,;:!?()[]{}\"'*#$%&|"
 
 
 _P = np.uint64(0x100000001B3)
 
 
-def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(table rows, how many of them each word has): a word's n-grams with edge marks, and the word itself.
+def _grams(cp: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, hashes) of the n-grams of each length; ``left`` counts the characters from a start to its word's end."""
+    h = cp.copy()
+    for g in range(2, max(GRAMS) + 1):
+        m = max(0, len(h) - g + 1)
+        h[:m] = h[:m] * _P + cp[g - 1 : g - 1 + m]
+        if g in GRAMS:
+            ok = np.flatnonzero(left >= g)
+            yield ok, mix(h[ok] * _P + np.uint64(g))
 
-    Case and edge punctuation don't count. Hashes are polynomials over code points, for all words at once.
-    """
-    marked = [f"<{w.lower().strip(EDGES)[:64]}>" for w in words]
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def _table_rows(hashes: list[np.ndarray]) -> np.ndarray:
+    return (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int32)
+
+
+def _long(marked: str) -> np.ndarray:
+    """Table rows of one long word, by pieces; each reaches into the next far enough for the n-grams that start in it."""
+    found, whole, power = [], np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for at in range(0, len(marked), PIECE):
+        cp = _code_points(marked[at : at + PIECE + max(GRAMS) - 1])
+        own = min(PIECE, len(marked) - at)
+        left = len(marked) - at - np.arange(len(cp))
+        left[own:] = 0
+        found.append(_table_rows([h for _, h in _grams(cp, left)]))
+        powers = np.multiply.accumulate(np.full(own, _P)) * power
+        whole, power = whole + (cp[:own] * powers).sum(keepdims=True, dtype=np.uint64), powers[-1:]
+    return np.concatenate([*found, _table_rows([mix(whole)])])
+
+
+def _short(marked: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([len(w) for w in marked], np.int64)
     first = np.cumsum(n) - n
-    cp = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    cp = _code_points("".join(marked))
     word = np.repeat(np.arange(len(marked)), n)
     left = np.repeat(first + n, n) - np.arange(len(cp))  # characters from here to the word's end
     rows, owner = [], []
-    with np.errstate(over="ignore"):
-        h = cp.copy()
-        for g in range(2, max(GRAMS) + 1):
-            h[: len(h) - g + 1] = h[: len(h) - g + 1] * _P + cp[g - 1 :]
-            if g in GRAMS:
-                ok = np.flatnonzero(left >= g)
-                rows.append(mix(h[ok] * _P + np.uint64(g)))
-                owner.append(word[ok])
-        powers = np.multiply.accumulate(np.full(int(n.max(initial=1)), _P))
-        if len(marked):
-            rows.append(mix(np.add.reduceat(cp * powers[np.arange(len(cp)) - np.repeat(first, n)], first)))
-            owner.append(np.arange(len(marked)))
-    at = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-    order = np.argsort(at, kind="stable")
-    flat = np.concatenate(rows)[order] if rows else np.zeros(0, np.uint64)
-    return (flat % np.uint64(BUCKETS)).astype(np.int64), np.bincount(at, minlength=len(marked))
+    for ok, h in _grams(cp, left):
+        rows.append(h)
+        owner.append(word[ok])
+    powers = np.multiply.accumulate(np.full(int(n.max(initial=1)), _P))
+    rows.append(mix(np.add.reduceat(cp * powers[np.arange(len(cp)) - np.repeat(first, n)], first)))
+    owner.append(np.arange(len(marked)))
+    at = np.concatenate(owner)
+    return _table_rows(rows)[np.argsort(at, kind="stable")], np.bincount(at, minlength=len(marked))
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(table rows, how many of them each word has): a word's n-grams with edge marks, and the word itself.
+
+    Case and edge punctuation don't count. Words are hashed whole, however long (a text without blanks is one
+    word). Hashes are polynomials over code points, for about PIECE characters at once.
+    """
+    rows, sizes = [], []
+    for some in slices([f"<{w.lower().strip(EDGES)}>" for w in words], PIECE):
+        if len(some) == 1 and len(some[0]) > PIECE:
+            rows.append(_long(some[0]))
+            sizes.append(np.array([len(rows[-1])]))
+        else:
+            with_sizes = _short(some)
+            rows.append(with_sizes[0])
+            sizes.append(with_sizes[1])
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(rows), np.concatenate(sizes)
 
 
 @dataclass
@@ -191,9 +235,14 @@ class Scorer:
                 young[w] = found
             else:
                 new.append(w)
-        for i in range(0, len(new), 20_000):
-            young.update(zip(new[i : i + 20_000], self.words(new[i : i + 20_000]).tolist(), strict=True))
-        return [(sum(map(young.__getitem__, x)) / len(x) if x else 0.0) + self.bias for x in cut]
+        for some in slices(new, PIECE):
+            for i in range(0, len(some), 20_000):
+                young.update(zip(some[i : i + 20_000], self.words(some[i : i + 20_000]).tolist(), strict=True))
+        found = [(sum(map(young.__getitem__, x)) / len(x) if x else 0.0) + self.bias for x in cut]
+        for w in new:
+            if len(w) > LONG:
+                del young[w]
+        return found
 
 
 _SCORERS: dict[str, Scorer] = {}
