@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.plans.lineage import cut
+
 GOLDEN = 2.39996323
 RADIUS = 1000.0
 
@@ -42,8 +44,6 @@ def propagate(placed: DataFrame, edges: DataFrame, nodes: DataFrame, rounds: int
         new = open_.join(mean, "id")
         if jitter:
             new = new.select("id", (F.col("x") + F.randn(seed + k) * jitter).alias("x"), (F.col("y") + F.randn(seed + 99 + k) * jitter).alias("y"))
-        from loomgraph.plans.lineage import cut
-
         p = cut(p.unionByName(new.select("id", "x", "y")))
     return p
 
@@ -74,16 +74,38 @@ def density(cells: DataFrame, width: int, height: int) -> DataFrame:
     return a.select(F.round(100.0 * F.col("used") / size, 4).alias("occupied_pct"), F.round(F.col("top") / mean, 4).alias("max_over_mean"), F.round(median / mean, 4).alias("median_over_mean"))
 
 
-def nearest(queries: DataFrame, points: DataFrame, cell: float) -> DataFrame:
-    """query, id, d2: the nearest point (id, x, y) of each query (query, x, y) within two cells, ties to the least id.
+def nearest(queries: DataFrame, points: DataFrame, cell: float | None = None) -> DataFrame:
+    """query, id, d2: the nearest point (id, x, y) of each finite query (query, x, y), ties to the least id.
 
     Points are dealt by grid cell; a query looks into the five by five cells around its own, so no cross join
-    arises. A query without a point there gives no row; a larger cell finds it.
+    arises. Queries whose best is not surely nearer than the unsearched border look again in a grid of four times
+    the cell, until one cell would hold all. Without a cell the first grid has about one cell a point.
     """
-    at = lambda c: F.floor(F.col(c) / cell)
-    around = F.sequence(F.lit(-2), F.lit(2))
-    q = queries.withColumn("i", F.explode(F.transform(around, lambda d: at("x") + d))).withColumn("j", F.explode(F.transform(around, lambda d: at("y") + d)))
-    p = points.select("id", F.col("x").alias("u"), F.col("y").alias("v"), at("x").alias("i"), at("y").alias("j")).where(~F.isnan("u") & ~F.isnan("v"))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    left = cut(queries.where(finite("x") & finite("y")).select("query", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    p = points.where(finite("x") & finite("y")).groupBy(F.col("x").cast("double").alias("u"), F.col("y").cast("double").alias("v")).agg(F.min("id").alias("id"))
+    p = cut(p)
+    n, *box = p.agg(F.count("*"), F.min("u"), F.max("u"), F.min("v"), F.max("v")).first()
+    q0, *around = left.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    none = p.limit(0).select(F.lit(None).cast(dict(left.dtypes)["query"]).alias("query"), "id", F.lit(0.0).alias("d2"))
+    if not n or not q0:
+        return none
+    extent = max(max(box[1], around[1]) - min(box[0], around[0]), max(box[3], around[3]) - min(box[2], around[2]))
+    start = cell or max(box[1] - box[0], box[3] - box[2]) / n**0.5
+    cell = max(start, extent / 2**30) or 1.0  # cells are counted in whole numbers, exactly
     d2 = (F.col("x") - F.col("u")) * (F.col("x") - F.col("u")) + (F.col("y") - F.col("v")) * (F.col("y") - F.col("v"))
-    j = q.join(p, ["i", "j"]).withColumn("d2", d2).where(F.col("d2") <= 4 * cell * cell)
-    return j.groupBy("query").agg(F.min(F.struct("d2", "id")).alias("b")).select("query", F.col("b.id").alias("id"), F.col("b.d2").alias("d2"))
+    found = none
+    while True:
+        at = lambda c, cell=cell: F.floor(F.col(c) / cell)
+        near = lambda c: F.explode(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda d: at(c) + d))  # noqa: B023, E731
+        j = left.withColumn("i", near("x")).withColumn("j", near("y")).join(p.withColumn("i", at("u")).withColumn("j", at("v")), ["i", "j"])
+        best = j.groupBy("query").agg(F.min(F.struct(d2.alias("d2"), "id")).alias("b")).select("query", F.col("b.id").alias("id"), F.col("b.d2").alias("d2"))
+        last = cell >= extent
+        best = cut(best if last else best.where(F.col("d2") < (1.99 * cell) ** 2))
+        found = found.unionByName(best)
+        if last:
+            return found
+        left = cut(left.join(best.select("query"), "query", "left_anti"))
+        if left.isEmpty():
+            return found
+        cell *= 4

@@ -671,8 +671,8 @@ def normalized_positions(spark, d):
 @query("WITH " + SITES + ", q AS (SELECT p_partkey AS query, (p_partkey * 53 % 997)::DOUBLE AS x, (p_partkey * 71 % 991)::DOUBLE AS y FROM part WHERE p_partkey % 10 = 0), j AS (SELECT query, id, (q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y) AS d2 FROM q, sites s) SELECT query, id, d2 FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d2, id) AS r FROM j WHERE d2 <= 6400) WHERE r = 1")
 def nearest_neighbour(spark, d):
     k = F.col("p_partkey")
-    q = table(spark, d, "part").where("p_partkey % 10 = 0").select(k.alias("query"), (k * 53 % 997).cast("double").alias("x"), (k * 71 % 991).cast("double").alias("y"))
-    return layout.nearest(q, sites(spark, d), 40.0)
+    q = table(spark, d, "part").select(k.alias("query"), (k * 53 % 997).cast("double").alias("x"), (k * 71 % 991).cast("double").alias("y"))
+    return layout.nearest(q, sites(spark, d))
 
 
 @query(RANKED + ", k AS (SELECT community, (row_number() OVER (PARTITION BY community ORDER BY degree DESC, id) - 1) AS rank, id FROM ranked) SELECT id, rank, round(sqrt(rank) * cos(rank * 2.39996323), 5) AS x, round(sqrt(rank) * sin(rank * 2.39996323), 5) AS y FROM k")

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from loomgraph.operators import layout
 from loomgraph.plans import queries
 
 
@@ -47,3 +48,23 @@ def test_components_of_all_edges(spark, tables):
             root[b] = a
     got = {x.id: x.component for x in queries.connected_components(spark, d).collect()}
     assert got == {k: find(k) for k in root} and got[9] == 1
+
+
+def test_every_query_has_a_nearest_point(spark, tables):
+    keys = [1, 2, 3, 17, 250, 911]
+    d = parts(tables, keys)
+    sites = [(k, k * 37 % 1000, k * 101 % 1009) for k in keys]
+    got = {x["query"]: (x.d2, x.id) for x in queries.nearest_neighbour(spark, d).collect()}
+    assert got == {k: min(((k * 53 % 997 - x) ** 2 + (k * 71 % 991 - y) ** 2, i) for i, x, y in sites) for k in keys}
+
+
+def test_nearest_points_far_off(spark):
+    r = random.Random(2)
+    pts = [(i, r.gauss(0, 3), r.gauss(0, 3)) for i in range(60)] + [(70, 9000.0, -5e5), (71, 9000.0, -5e5), (72, float("nan"), 0.0), (73, float("inf"), 0.0)]
+    q = [(i, r.gauss(0, 10**k), r.gauss(0, 10**k)) for k in range(7) for i in range(8 * k, 8 * k + 8)] + [(90, float("nan"), 0.0), (91, None, 1.0)]
+    p, a = spark.createDataFrame(pts, "id long, x double, y double"), spark.createDataFrame(q, "query long, x double, y double")
+    want = {i: min((x - u) ** 2 + (y - v) ** 2 for _, u, v in pts[:62]) for i, x, y in q[:56]}
+    for cell in (None, 1.0):
+        got = {x["query"]: x for x in layout.nearest(a, p, cell).collect()}
+        assert got.keys() == want.keys() and all(got[i].d2 == pytest.approx(want[i]) and got[i].id != 71 for i in want)
+    assert layout.nearest(a, p.limit(0)).count() == 0 == layout.nearest(a.limit(0), p).count()
