@@ -321,7 +321,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY votes DE
 
 def votes(spark: S, d: str) -> DataFrame:
     n = nodes(spark, d)
-    return regions.region_votes(n, n.select("id", "category"), 40)
+    return regions.region_votes(n, n.select("id", "category"))
 
 
 @query(VOTES + "SELECT community, category, votes, rank FROM ranked WHERE rank <= 12")

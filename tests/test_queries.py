@@ -68,3 +68,10 @@ def test_nearest_points_far_off(spark):
         got = {x["query"]: x for x in layout.nearest(a, p, cell).collect()}
         assert got.keys() == want.keys() and all(got[i].d2 == pytest.approx(want[i]) and got[i].id != 71 for i in want)
     assert layout.nearest(a, p.limit(0)).count() == 0 == layout.nearest(a.limit(0), p).count()
+
+
+def test_votes_of_members_past_the_fortieth(spark, tables):
+    d = parts(tables, range(1, 201), lambda k: f"B{k % 2}", lambda k: "EARLY ONE" if k <= 20 else f"LATER {k % 2}")
+    got = {(x.community, x.category, x.votes, x["rank"]) for x in queries.region_votes(spark, d).collect()}
+    assert got == {(f"B{k}", c, n, i) for k in (0, 1) for c, n, i in ((f"LATER {k}", 90, 1), ("EARLY ONE", 10, 2))}
+    assert {x.community: x.name for x in queries.region_names(spark, d).collect()} == {"B0": "LATER 0", "B1": "LATER 1"}
