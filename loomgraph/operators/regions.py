@@ -91,12 +91,14 @@ def article_links(edges: DataFrame, nodes: DataFrame, id_: int, ban: int | None,
     return nodes.join(near, "id", "left_semi").withColumn("banned", banned)
 
 
-def link_groups(links: DataFrame, least: int = 3) -> DataFrame:
-    """community, n: links by community; groups below ``least`` are pooled as __misc if there are several."""
-    g = links.groupBy("community").agg(F.count("*").alias("n"))
-    small = g.agg(F.count_if(F.col("n") < least).alias("small"))
+def link_groups(links: DataFrame, least: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """Columns ``by``, community, n: the links of each group by community; those below ``least`` are pooled as
+    __misc if there are several."""
+    g = links.groupBy(*by, "community").agg(F.count("*").alias("n"))
+    small = g.groupBy(*by).agg(F.count_if(F.col("n") < least).alias("small"))
     named = F.when((F.col("n") < least) & (F.col("small") > 1), F.lit("__misc")).otherwise(F.col("community"))
-    return g.crossJoin(F.broadcast(small)).groupBy(named.alias("community")).agg(F.sum("n").alias("n"))
+    both = g.join(small, list(by)) if by else g.crossJoin(F.broadcast(small))
+    return both.groupBy(*by, named.alias("community")).agg(F.sum("n").alias("n"))
 
 
 def resolve_index(titles: DataFrame, aliases: DataFrame) -> DataFrame:

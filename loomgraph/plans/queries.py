@@ -200,7 +200,7 @@ def strip_element(spark, d):
 
 @query("SELECT doc_id, least(length(text), (SELECT max(i) FROM range(0, 161) t(i) WHERE strlen(left(text, i::INT)) <= 160))::BIGINT AS n FROM (SELECT doc_id, text FROM documents WHERE lang <> 'en')")
 def truncate_description(spark, d):
-    return table(spark, d, "documents").where("lang <> 'en'").select("doc_id", F.length(T.cut_bytes(F.col("text"), 160)).cast("bigint").alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.length(T.cut_bytes(F.col("text"), 160)).cast("bigint").alias("n"))
 
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&') AS title FROM pages")
@@ -382,8 +382,9 @@ def link_ordering(spark, d):
 @query(GRAPH + """, l AS (SELECT community, count(*) AS n FROM nodes WHERE id IN (SELECT dst FROM edges WHERE src % 10 = 0) GROUP BY community), s AS (SELECT count(*) FILTER (n < 60) AS small FROM l)
 SELECT CASE WHEN n < 60 AND small > 1 THEN '__misc' ELSE community END AS community, sum(n)::BIGINT AS n FROM l, s GROUP BY 1""")
 def link_grouping(spark, d):
-    l = nodes(spark, d).join(edges(spark, d).where("src % 10 = 0").select(F.col("dst").alias("id")), "id", "left_semi")
-    return regions.link_groups(l, 60)
+    """The links of every article, grouped as its list shows them."""
+    l = edges(spark, d).join(nodes(spark, d).select(F.col("id").alias("dst"), "community"), "dst").select(F.col("src").alias("article"), "community")
+    return regions.link_groups(l, by=("article",))
 
 
 # --- breadth-first family
@@ -584,7 +585,7 @@ def pct_at_par(spark, d):
 
 @query("WITH d AS (SELECT DISTINCT user_id AS player, (epoch(ts)::BIGINT // 86400)::BIGINT AS number FROM events WHERE event_id % 3 = 0), g AS (SELECT player, number - row_number() OVER (PARTITION BY player ORDER BY number) AS g FROM d) SELECT player, max(n)::BIGINT AS best FROM (SELECT player, g, count(*) n FROM g GROUP BY 1, 2) GROUP BY player")
 def streaks(spark, d):
-    e = table(spark, d, "events").where("event_id % 3 = 0").select(F.col("user_id").alias("player"), T.day_number(F.col("ts")).cast("bigint").alias("number"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("player"), T.day_number(F.col("ts")).cast("bigint").alias("number"))
     return runs.streaks(e)
 
 

@@ -75,3 +75,16 @@ def test_votes_of_members_past_the_fortieth(spark, tables):
     got = {(x.community, x.category, x.votes, x["rank"]) for x in queries.region_votes(spark, d).collect()}
     assert got == {(f"B{k}", c, n, i) for k in (0, 1) for c, n, i in ((f"LATER {k}", 90, 1), ("EARLY ONE", 10, 2))}
     assert {x.community: x.name for x in queries.region_names(spark, d).collect()} == {"B0": "LATER 0", "B1": "LATER 1"}
+
+
+def test_whole_tables_are_read(spark, tables):
+    from datetime import datetime
+
+    tables("events", [(i, 7, datetime(2024, 1, 1 + i, 12)) for i in range(9)] + [(20, 8, datetime(2024, 1, 3))], "event_id long, user_id long, ts timestamp")
+    d = tables("documents", [(1, "a" * 300, "en"), (2, "é" * 100, None), (3, "abc", "de"), (4, None, "en")], "doc_id long, text string, lang string")
+    assert {x.player: x.best for x in queries.streaks(spark, d).collect()} == {7: 9, 8: 1}
+    assert {x.doc_id: x.n for x in queries.truncate_description(spark, d).collect()} == {1: 160, 2: 80, 3: 3, 4: None}
+    parts(tables, range(1, 31), lambda k: "A" if k < 10 else "B" if k < 20 else f"C{k}")
+    links(tables, [[1, k] for k in (2, 3, 4, 5, 11, 12, 21)] + [[22, 11], [22, 30]])
+    got = {(x.article, x.community): x.n for x in queries.link_grouping(spark, d).collect()}
+    assert got == {(1, "A"): 4, (1, "__misc"): 3, (22, "__misc"): 2}
