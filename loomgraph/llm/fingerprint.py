@@ -3,8 +3,8 @@
 A text is cut into words (runs of other than ASCII white space, at most 32 characters each, so that scripts
 without spaces are cut too). Of the k-mers of K words those are chosen whose least inner substring of two
 words, by hash, stands at an edge. The choice depends on the k-mer alone, so an edit changes only the anchors
-that it touches. The fingerprint keeps the M least distinct anchor hashes; likeness is the Jaccard index of
-two such sketches, estimated on the M least of their union.
+that it touches. Likeness is the Jaccard index of all distinct anchors of two texts, found by positional
+matching. The fingerprint in the result keeps the M least distinct anchor hashes; nothing is computed from it.
 """
 
 from __future__ import annotations
@@ -60,16 +60,26 @@ def as_text(found: Column) -> Column:
     return F.concat_ws("", F.transform(found, lambda h: F.lpad(F.lower(F.hex(h)), HEX, "0")))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """The share of the M least of the union that both sketches hold."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, M)
-    return F.size(F.array_intersect(least, F.array_intersect(a, b))) / F.size(least).cast("double")
+def with_matches(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Adds ``out``: positional matches of two anchor columns, an array of (pos_a, pos_b).
+
+    One for each distinct hash that both have, at its first place in each. Both are sorted together by hash, so
+    the work is n log n; a lookup in a map or array for each anchor would be quadratic.
+    """
+    side = lambda c, k: F.transform(c, lambda x: F.struct(x["hash"].alias("hash"), F.lit(k).alias("side"), x["pos"].alias("pos")))
+    d = df.withColumn("_s", F.sort_array(F.concat(side(F.col(a), 0), side(F.col(b), 1))))
+    before, after = (lambda i: F.get("_s", i - 1)), (lambda i: F.get("_f", i + 1))
+    d = d.withColumn("_f", F.filter("_s", lambda x, i: (i == 0) | (before(i)["hash"] != x["hash"]) | (before(i)["side"] != x["side"])))
+    both = lambda x, i: (x["side"] == 0) & (after(i)["hash"] == x["hash"])
+    found = F.transform("_f", lambda x, i: F.struct(x["pos"].alias("pos_a"), F.when(both(x, i), after(i)["pos"]).alias("pos_b")))
+    return d.withColumn(out, F.filter(found, lambda m: m["pos_b"].isNotNull())).drop("_s", "_f")
 
 
-def matches(a: Column, b: Column) -> Column:
-    """Positional matching: (pos_a, pos_b) for every anchor of ``a`` whose hash ``b`` has, at its first place there."""
-    at = F.map_from_arrays(F.array_distinct(b["hash"]), F.transform(F.array_distinct(b["hash"]), lambda h: F.get(b["pos"], (F.array_position(b["hash"], h) - 1).cast("int"))))
-    return F.filter(F.transform(a, lambda x: F.struct(x["pos"].alias("pos_a"), F.try_element_at(at, x["hash"]).alias("pos_b"))), lambda m: m["pos_b"].isNotNull())
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Adds ``out``: the Jaccard index of all distinct hashes of two anchor columns, by their positional matches."""
+    d = with_matches(df, a, b, "_m").withColumn("_m", F.size("_m"))
+    n = F.size(F.array_distinct(F.col(a)["hash"])) + F.size(F.array_distinct(F.col(b)["hash"]))
+    return d.withColumn(out, F.col("_m") / (n - F.col("_m")).cast("double")).drop("_m")
 
 
 def following(docs: DataFrame) -> DataFrame:
@@ -101,14 +111,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     t = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("k"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     order = following(t.select("k", "h", F.length("text").alias("n")))
-    heads = t.join(order, ["k", "h"])
-    heads = with_anchors(heads, "text", "a").select("prev_k", "prev_h", F.left("text", F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"), sketch(F.col("a")).alias("next_sketch"))
-    heads = heads.dropDuplicates(["prev_k", "prev_h"])
+    # the following text goes to its document whole: its anchors would be no smaller
+    heads = t.join(order, ["k", "h"]).select("prev_k", "prev_h", "prev_chars", F.col("text").alias("next")).dropDuplicates(["prev_k", "prev_h"])
     d = t.join(heads.withColumnsRenamed({"prev_k": "k", "prev_h": "h"}), ["k", "h"])
-    d = d.withColumn("n_chars", F.length("text")).withColumn("edited", F.concat(F.left("text", (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")), F.col("head")))
-    d = with_anchors(d, "text", "a").withColumn("own", sketch(F.col("a"))).withColumn("n_anchors", F.size("a")).drop("a")
-    d = with_anchors(d, "edited", "a").withColumn("new", sketch(F.col("a"))).drop("a")
+    head = F.left("next", F.floor(F.col("prev_chars") / 4).cast("int"))
+    d = d.withColumn("n_chars", F.length("text")).withColumn("edited", F.concat(F.left("text", (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")), head))
+    d = with_anchors(with_anchors(with_anchors(d, "text", "own"), "edited", "new"), "next", "following")
+    d = with_likeness(with_likeness(d, "own", "new", "near_edited"), "own", "following", "near_next")
     return d.select(
-        F.nullif("k", F.lit(NO_ID)).alias("doc_id"), F.col("n_chars").cast("bigint"), F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"),
-        as_text(F.col("new")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("next_sketch")).alias("near_next"), "n_anchors",
+        F.nullif("k", F.lit(NO_ID)).alias("doc_id"), F.col("n_chars").cast("bigint"), F.sha2("edited", 256).alias("edited_sha256"), as_text(sketch(F.col("own"))).alias("fingerprint"),
+        as_text(sketch(F.col("new"))).alias("edited_fingerprint"), "near_edited", "near_next", F.size("own").alias("n_anchors"),
     )
