@@ -515,7 +515,7 @@ def communities(spark, d):
 p AS (SELECT s AS src, id AS dst, min(dist)::INT AS par FROM b WHERE id IN (SELECT id FROM ends) GROUP BY 1, 2)
 SELECT src, dst, par FROM (SELECT *, row_number() OVER (PARTITION BY par ORDER BY md5(src || ':' || dst || ':0'), src, dst) AS r FROM p WHERE par BETWEEN 2 AND 5) WHERE r <= 10""")
 def pools_bucket_sample(spark, d):
-    return pools.generate(edges(spark, d), deg(spark, d), 24, 2, 8, 10)
+    return pools.generate(edges(spark, d), deg(spark, d), 24, 2, 20_000, 25_000)
 
 
 POOL = "pool AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty, (3 + o_orderkey % 4)::INT AS par, o_orderkey AS src, o_custkey AS dst, (o_orderkey * 31 % 17)::BIGINT AS routes FROM orders)"

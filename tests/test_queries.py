@@ -88,3 +88,11 @@ def test_whole_tables_are_read(spark, tables):
     links(tables, [[1, k] for k in (2, 3, 4, 5, 11, 12, 21)] + [[22, 11], [22, 30]])
     got = {(x.article, x.community): x.n for x in queries.link_grouping(spark, d).collect()}
     assert got == {(1, "A"): 4, (1, "__misc"): 3, (22, "__misc"): 2}
+
+
+def test_pools_take_all_candidates(spark, tables):
+    keys = range(1, 13)
+    parts(tables, keys)
+    d = links(tables, [[*keys, 1]])
+    want = {(a, (a + n - 1) % 12 + 1, n) for a in keys for n in (2, 3, 4, 5)}
+    assert {tuple(x) for x in queries.pools_bucket_sample(spark, d).collect()} == want
