@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch sent to a Python worker. Texts may be long, so batches are small.
 BATCH_ROWS = 512
@@ -19,14 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-    temporary folder is made and set.
+    It is the session's ``spark.checkpoint.dir``; where that is unset a temporary folder is made and set in
+    local mode (tests on one machine), and an error raised on a cluster.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext._jsc.sc()
     if not found and context.getCheckpointDir().isDefined():
         found = context.getCheckpointDir().get()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='loomgraph-shared-')}"
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
@@ -43,7 +47,32 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     size is known to the planner, which broadcasts it only below its threshold."""
     path = work_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` once all that reads them is written; their writers' shuffle files go too,
+    which Spark removes when its driver collects garbage."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.cut_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        jvm.System.gc()
+
+
+def join_counted(rows: DataFrame, one: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join on ``key`` with ``one``, which has a row of each key and in ``weight`` the number of its ``rows``.
+
+    ``total`` bounds the number of all rows. Keys of more than a 10,000th of them are 10,000 at most, so what
+    ``one`` has for them is broadcast and their rows stay where they are; other keys are too small for skew.
+    """
+    bound = max(64, total // 10_000)
+    hot = F.broadcast(one.where(F.col(weight) > bound))
+    rest = rows.join(hot.select(key), key, "left_anti").join(one.where(F.col(weight) <= bound), key)
+    return rows.join(hot, key).unionByName(rest)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -12,8 +12,8 @@ pairs of a bucket:
 
 1. Each bucket's most central node (largest sum of bucket sizes) is compared with its other nodes, which joins
    the bulk of a large group of copies into one component.
-2. In buckets that still hold several components, signatures are compared block against block; only pairs of
-   different components that could reach the threshold, within four standard deviations, are emitted.
+2. In buckets that still hold several components, signatures of different components are compared block against
+   block; only pairs that could reach the threshold, within four standard deviations, are emitted.
 
 All pairs are verified on exact multisets. Classes are the connected components of the verified links.
 """
@@ -28,10 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.bpe import slices
-from loomgraph.llm.common import cut, small_batches, texts
+from loomgraph.llm.common import cut, discard, join_counted, small_batches, texts
 
 SHINGLE, REGISTERS, BANDS, ROWS = 5, 512, 24, 4
 BLOCK = 384
+#: Pairs whose signatures are compared at once.
+PAIRS = 8192
+#: Points that are drawn at once.
+AT_ONCE = 16_384
+#: Bytes of bags that one task of the exact check reads of one node's partners.
+SLOT = 8 << 20
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -101,16 +107,22 @@ def bag_min_hash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
         state = mix(element[who] * _U(64) + piece.astype(np.uint64) + _U(1))
         time = np.zeros(len(who))
         while len(doc):
-            state = state + _POWER
-            a = mix(state)
+            # several points of each element at once where few are left; points after all registers change nothing
+            some = int(np.clip(AT_ONCE // len(doc), 1, 256))
+            steps = state + np.arange(1, some + 1, dtype=np.uint64)[:, None] * _POWER
+            a = mix(steps)
             b = mix(a ^ _U(0x5851F42D4C957F2D))
-            time = time - np.log1p(-(a >> _U(11)).astype(np.float64) * 2.0**-53) / length
+            gaps = -np.log1p(-(a >> _U(11)).astype(np.float64) * 2.0**-53) / length
+            gaps[0] += time
+            times = np.cumsum(gaps, axis=0)
             cell = low + ((b >> _U(32)).astype(np.float64) * 2.0**-32 * length).astype(np.int64) + 1
             counts = cell <= weight
             at = doc * REGISTERS + (b & _U(REGISTERS - 1)).astype(np.int64)
-            np.minimum.at(registers, at[counts], time.view(np.uint64)[counts])
-            latest = registers.reshape(-1, REGISTERS).max(axis=1).view(np.float64)
-            on = time < latest[doc]
+            np.minimum.at(registers, at[counts], times.view(np.uint64)[counts])
+            state, time = steps[-1], times[-1]
+            new = np.concatenate([[True], doc[1:] != doc[:-1]])  # elements are in the order of their texts
+            latest = registers.reshape(-1, REGISTERS)[doc[new]].max(axis=1).view(np.float64)
+            on = time < latest[np.cumsum(new) - 1]
             doc, weight, low, length, state, time = doc[on], weight[on], low[on], length[on], state[on], time[on]
     return registers.reshape(-1, REGISTERS)
 
@@ -131,8 +143,12 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sign(docs: DataFrame) -> DataFrame:
-    """node (128-bit text digest), doc_id, bands, sig: 16 bits of each register."""
+def _nodes(docs: DataFrame) -> DataFrame:
+    """One row of each distinct text: nid, node (its 128-bit digest), doc_id (the least), copies, bands, sig.
+
+    ``sig`` has 8 bits of each register. Two registers that differ have equal bits once in 256, so a comparison
+    may overrate a pair by two registers or so, and never underrates one. ``nid`` holds once the table is written.
+    """
     small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,18 +156,20 @@ def _sign(docs: DataFrame) -> DataFrame:
             said, done = texts(b.column(2)), 0
             for part in slices(said, 2_000_000):
                 registers, has = signatures(part)
-                keys, short = band_keys(registers), (registers >> _U(20)).astype(np.uint16)
+                keys, short = band_keys(registers), (registers >> _U(20)).astype(np.uint8)
                 lists = pa.array([k.tolist() if ok else [] for k, ok in zip(keys, has.tolist(), strict=True)], pa.list_(pa.int64()))
                 sig = pa.array([s.tobytes() for s in short], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(part)), b.column(1).slice(done, len(part)), lists, sig], names=["node", "doc_id", "bands", "sig"])
                 done += len(part)
 
-    return docs.select(F.unhex(F.md5("text")).alias("node"), "doc_id", "text").mapInArrow(work, "node binary, doc_id bigint, bands array<bigint>, sig binary")
+    signed = docs.select("node", "doc_id", "text").mapInArrow(work, "node binary, doc_id bigint, bands array<bigint>, sig binary")
+    by = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    return by.select(F.monotonically_increasing_id().alias("nid"), "*")
 
 
 def _agree(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Registers in which two columns of signatures agree."""
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in (a, b))
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in (a, b))
     return (x == y).sum(axis=1)
 
 
@@ -160,101 +178,199 @@ def _least(similarity: float) -> int:
     return int(REGISTERS * similarity - 4 * (REGISTERS * similarity * (1 - similarity)) ** 0.5)
 
 
-def _likely(pairs: DataFrame, similarity: float) -> DataFrame:
+def _likely(pairs: DataFrame, sig: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose signatures (nid, sig) agree enough."""
     least = _least(similarity)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(_agree(b.column(2), b.column(3)) >= least)).select([0, 1])
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a binary, b binary")
+    p = pairs.join(sig.withColumnsRenamed({"nid": "b", "sig": "sig_b"}), "b").join(sig.withColumnsRenamed({"nid": "a", "sig": "sig_a"}), "a")
+    return p.select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a bigint, b bigint")
 
 
 def _blocks(rows: DataFrame, similarity: float) -> DataFrame:
-    """Likely pairs of different components in each bucket; rows: key, band, n, node, root, sig.
+    """Likely pairs of different components in each bucket; rows: key, nid, root, bands, sig.
 
-    A bucket of n nodes has ceil(n / BLOCK) blocks; each task compares two blocks and holds no more than those.
-    A pair that shares several bands is told by the first of them.
+    In each bucket the largest component is told from the odd rest. Nodes of one component are never sent for
+    each other: those of the largest go to the blocks of odd nodes, those to all blocks of the bucket. So a few
+    odd nodes in a bucket of a million copies cost a million comparisons each, and a block's task holds about
+    2 * BLOCK nodes. A pair that shares several bands is told by the first of them.
     """
     least = _least(similarity)
-    nb = F.ceil(F.col("n") / BLOCK).cast("int")
-    r = rows.withColumn("nb", nb).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    r = r.withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "own", "node", "root", "sig")
-
-    def work(t: pa.Table) -> pa.Table:
-        cols = {c: t.column(c).to_pylist() for c in ("node", "root", "own")}
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        roots = np.unique(np.array(cols["root"], dtype=object), return_inverse=True)[1]
-        own, i, j, band = np.array(cols["own"]), t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("band")[0].as_py()
-        earlier = np.ascontiguousarray(sig[:, : band * ROWS]).view(np.uint64)  # ROWS registers of 16 bits in a word
-        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out: tuple[list, list] = ([], [])
-        for k, p in enumerate(a):
-            q = b[k + 1 :] if i == j else b
-            q = q[roots[q] != roots[p]]
-            q = q[(sig[q] == sig[p]).sum(axis=1) >= least]
-            for x in q[~(earlier[q] == earlier[p]).any(axis=1)]:
-                pair = sorted((cols["node"][p], cols["node"][x]))
-                out[0].append(pair[0])
-                out[1].append(pair[1])
-        return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary())})
-
-    return r.groupBy("key", "i", "j").applyInArrow(work, "a binary, b binary")
+    by = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    by = by.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    by = by.select("key", F.col("top.root").alias("top"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("n_top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("n_odd"))
+    r = rows.join(by, "key").withColumn("odd", F.col("root") != F.col("top"))
+    r = r.withColumn("own", F.pmod(F.xxhash64("nid"), F.when(F.col("odd"), F.col("n_odd")).otherwise(F.col("n_top"))).cast("int"))
+    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    own = F.col("own")
+    for_odd = F.concat(F.transform(span("n_top"), lambda i: task(0, i, own)), F.transform(span("n_odd"), lambda j: task(1, F.least(own, j), F.greatest(own, j))))
+    at = F.explode(F.when(F.col("odd"), for_odd).otherwise(F.transform(span("n_odd"), lambda j: task(0, own, j))))
+    r = r.withColumn("at", at).select("key", "at.kind", "at.i", "at.j", "odd", "own", "nid", "root", "bands", "sig")
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    group = ["key", "kind", "i", "j"]
+
+    def told(t: pa.Table) -> pa.RecordBatch:
+        """The pairs of whole groups."""
+        key, kind, i, j, odd, own, node, root = (t.column(c).to_numpy() for c in t.column_names[:8])
+        keys = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        here = (keys == key[:, None]).argmax(axis=1)
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        found: list[np.ndarray] = []
+
+        def compare(p: np.ndarray, q: np.ndarray) -> None:
+            on = root[p] != root[q]
+            p, q = p[on], q[on]
+            on = (keys[p] == keys[q]).argmax(axis=1) == here[p]  # the first band in which they meet
+            p, q = p[on], q[on]
+            on = (sig[p] == sig[q]).sum(axis=1) >= least
+            found.append(np.stack([np.minimum(node[p[on]], node[q[on]]), np.maximum(node[p[on]], node[q[on]])]))
+
+        held, n_held = [], 0
+        for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(key)], strict=True):
+            x = np.arange(lo, hi)
+            inside = kind[lo] == 1 and i[lo] == j[lo]
+            side = odd[lo:hi] if kind[lo] == 0 else own[lo:hi] == j[lo]
+            a, b = (x, x) if inside else (x[~side], x[side])
+            step = max(1, PAIRS // max(1, len(b)))
+            for at in range(0, len(a), step):
+                p, q = np.repeat(a[at : at + step], len(b)), np.tile(b, len(a[at : at + step]))
+                held.append((p[p < q], q[p < q]) if inside else (p, q))
+                n_held += len(p)
+                if n_held > PAIRS:
+                    compare(*map(np.concatenate, zip(*held, strict=True)))
+                    held, n_held = [], 0
+        if held:
+            compare(*map(np.concatenate, zip(*held, strict=True)))
+        ab = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ends = [b.column(c)[b.num_rows - 1].as_py() for c in range(4)]
+            if held and ends == last and all(b.column(c)[0].as_py() == x for c, x in enumerate(last)):
+                held.append(b)  # still the same group
+                continue
+            same = np.logical_and.reduce([b.column(c).to_numpy() == x for c, x in enumerate(ends)])
+            cut_at = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            whole = [*held, b.slice(0, cut_at)]
+            if sum(x.num_rows for x in whole):
+                yield told(pa.Table.from_batches(whole))
+            held, last = [b.slice(cut_at)], ends
+        if held:
+            yield told(pa.Table.from_batches(held))
+
+    return r.repartition(n, *group).sortWithinPartitions(*group).mapInArrow(work, "a bigint, b bigint")
 
 
 def _bags(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, bag: the sorted 48-bit shingle hashes, repeats kept, of the nodes' texts, as binary."""
-    t = docs.withColumn("node", F.unhex(F.md5("text"))).join(nodes.select("node", F.col("doc_id").alias("of")), "node").where(F.col("of").eqNullSafe(F.col("doc_id")))
-    t = t.select("node", "text").dropDuplicates(["node"])
+    """nid, size (bytes), bag: the sorted shingle hashes, repeats kept, 6 bytes each, of the nodes' texts.
+
+    ``docs`` and ``nodes`` meet on digest and hashed doc_id, so many copies of a text are dealt apart.
+    """
+    h = F.xxhash64("doc_id").alias("h")
+    t = docs.select("node", h, "text").join(nodes.select("node", h, "nid"), ["node", "h"]).dropDuplicates(["node", "h"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             said, bags = texts(b.column(1)), []
             for part in slices(said, 2_000_000):
-                h, n = shingles(part)
-                bags += [np.sort(x).tobytes() for x in np.split(h, np.cumsum(n)[:-1])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.binary())], names=["node", "bag"])
+                x, n = shingles(part)
+                for own in np.split(x, np.cumsum(n)[:-1]):
+                    bags.append(np.sort(own).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in bags], pa.int64()), pa.array(bags, pa.binary())], names=["nid", "size", "bag"])
+
+    return t.select("nid", "text").mapInArrow(work, "nid bigint, size bigint, bag binary")
+
 
-    return t.mapInArrow(work, "node binary, bag binary")
+def unpacked(bag: bytes) -> np.ndarray:
+    """The hashes of a bag."""
+    x = np.zeros((len(bag) // 6, 8), np.uint8)
+    x[:, :6] = np.frombuffer(bag, np.uint8).reshape(-1, 6)
+    return x.view("<u8").ravel().astype(_U)
+
+
+def numbered(bag: np.ndarray) -> np.ndarray:
+    """Distinct hashes of a sorted bag's elements with the ordinal of each repeat, so that k-th copies match each other."""
+    at = np.arange(len(bag))
+    k = at - np.maximum.accumulate(np.where(np.concatenate([[True], bag[1:] != bag[:-1]]), at, 0)) if len(bag) else at
+    with np.errstate(over="ignore"):
+        return np.sort(mix(mix(bag) + k.astype(np.uint64)))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
     """The Jaccard index of two multisets, each a sorted array; 1 if both are empty."""
+    return _overlap(numbered(a), numbered(b))
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    # number repeats, so that the k-th copies are matched with each other
-    own = [np.arange(len(x)) - np.maximum.accumulate(np.where(np.concatenate([[True], x[1:] != x[:-1]]), np.arange(len(x)), 0)) for x in (a, b)]
-    with np.errstate(over="ignore"):
-        x, y = (mix(mix(v) + k.astype(np.uint64)) for v, k in zip((a, b), own, strict=True))
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 
 
 def _verify(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose exact multisets are as similar."""
-    p = pairs.join(bags.withColumnsRenamed({"node": "a", "bag": "bag_a"}), "a").join(bags.withColumnsRenamed({"node": "b", "bag": "bag_b"}), "b")
+    """The pairs (a, b) whose exact multisets are as similar.
+
+    Pairs of one ``a`` are dealt to slots by the bytes of their bags, SLOT in each. The bag of ``a`` goes to
+    each of its slots once, sorted before the others, so a task holds one such bag and a batch of others.
+    """
+    sizes = bags.select(F.col("nid").alias("b"), "size")
+    narrow = pairs.join(sizes, "b")
+    per = narrow.groupBy("a").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    per = cut(per.select("a", "n", F.ceil((F.col("bytes") + 1) / SLOT).cast("int").alias("slots")), "per")
+    dealt = join_counted(narrow.drop("size"), per, "a", "n", _total(per, "n"))
+    dealt = dealt.select("a", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"), "b")
+    own = per.join(bags.withColumnRenamed("nid", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(None).cast("bigint").alias("b"), "bag")
+    rest = dealt.join(bags.select(F.col("nid").alias("b"), "bag"), "b").select("a", "slot", "b", "bag")
+    n = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    every = own.unionByName(rest).repartition(n, "a", "slot").sortWithinPartitions("a", "slot", F.col("b").asc_nulls_first())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-            good = [overlap(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= similarity for p, q in zip(x, y, strict=True)]
-            yield b.filter(pa.array(good, pa.bool_())).select([0, 1])
+        held = np.zeros(0, np.uint64)
+        for batch in batches:
+            good = []
+            for other, bag in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                x = numbered(unpacked(bag))
+                if other is None:
+                    held = x
+                good.append(other is not None and _overlap(held, x) >= similarity)
+            yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
 
-    return p.select("a", "b", "bag_a", "bag_b").mapInArrow(work, "a binary, b binary")
+    return every.select("a", "b", "bag").mapInArrow(work, "a bigint, b bigint")
+
+
+def _total(counted: DataFrame, column: str) -> int:
+    return counted.agg(F.sum(column)).head()[0] or 0
 
 
 def components(links: DataFrame, most: int = 40) -> DataFrame:
-    """node, root (the least node) for every node of the links (a, b), by alternating large and small stars."""
-    e = cut(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    """node, root (the least node) for every node of the links (a, b), by alternating large and small stars.
+
+    Nodes with many links get their star's least node by broadcast (see ``join_counted``), so no task has a hub.
+    """
+    e = cut(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
+    n = e.count()
+    star = lambda x: x.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
     for _ in range(most):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        new = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        same = new.count() == e.count() and new.exceptAll(e).isEmpty()
+        large = join_counted(both, star(both), "u", "d", 2 * n).select("u", "v", F.least("u", "m").alias("m"))
+        large = cut(large.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "stars")
+        least = star(large)
+        small = join_counted(large, least, "u", "d", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        new = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        before, n = n, new.count()
+        same = n == before and new.exceptAll(e).isEmpty()
+        discard(e, large)
         e = new
         if same:
             break
@@ -263,32 +379,40 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _classified(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of every row; node, doc_id (its least), copies, root of every distinct text."""
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    signed = cut(_sign(d), "signed")
-    nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
-    member = nodes.select(F.posexplode("bands").alias("band", "key"), "node")
-    sizes = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    member = cut(member.join(sizes, "key"), "member")
-    score = member.groupBy("node").agg(F.sum("n").alias("score"))
-    shared = cut(score.join(nodes.select("node", "doc_id", "sig"), "node"), "shared")
-    bags = cut(_bags(d, shared), "bags")
-    hubs = member.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node"))["node"].alias("hub"))
-    pairs = member.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    sig = shared.select("node", "sig")
-    pairs = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
-    links = cut(_verify(_likely(pairs, similarity), bags, similarity), "links")
-    found = cut(components(links), "found")
-    rows = member.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _classified(docs: DataFrame, similarity: float) -> DataFrame:
+    """nid, node, doc_id (its least), copies, root of every distinct text of docs (doc_id, text, node)."""
+    nodes = cut(_nodes(docs), "nodes")
+    keys = nodes.select(F.explode("bands").alias("key"), "nid")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    member = cut(keys.join(sizes, "key"), "member")
+    score = member.groupBy("nid").agg(F.sum("n").alias("score"))
+    shared = cut(score.join(nodes.select("nid", "node", "doc_id", "bands", "sig"), "nid"), "shared")
+    bags = cut(_bags(docs, shared), "bags")
+    hubs = member.join(shared.select("nid", "score"), "nid").groupBy("key").agg(F.max(F.struct("score", "nid"))["nid"].alias("hub"))
+    pairs = member.join(hubs, "key").where("nid <> hub").select(F.col("hub").alias("a"), F.col("nid").alias("b")).distinct()
+    sig = shared.select("nid", "sig")
+    likely = cut(_likely(pairs, sig, similarity), "likely")
+    links = cut(_verify(likely, bags, similarity), "links")
+    discard(likely)
+    found = cut(components(links).withColumnRenamed("node", "nid"), "found")
+    rows = member.join(found, "nid", "left").select("key", "nid", F.coalesce("root", "nid").alias("root"))
     open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rows = rows.join(open_keys, "key").join(sig, "node")
-    more = cut(_blocks(rows, similarity), "more")
+    rows = cut(rows.join(open_keys, "key"), "open")
+    more = cut(_blocks(rows.join(shared.select("nid", "bands", "sig"), "nid"), similarity), "more")
+    discard(member, rows)
     new = cut(_verify(more, bags, similarity), "links")
+    discard(shared, bags, more)
     if not new.isEmpty():
-        found = cut(components(links.unionByName(new)), "found")
-    c = nodes.select("node", "doc_id", "copies").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return signed.select("doc_id", "node"), cut(c, "classes")
+        found, old = cut(components(links.unionByName(new)).withColumnRenamed("node", "nid"), "found"), found
+        discard(old)
+    c = cut(nodes.select("nid", "node", "doc_id", "copies").join(found, "nid", "left").withColumn("root", F.coalesce("root", "nid")), "classes")
+    discard(nodes, links, new, found)
+    return c
+
+
+def _with_node(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("node"))
 
 
 def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -300,10 +424,13 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     links. Repeated rows are kept; a null doc_id is kept and never a class_id unless the class has no other.
     Other columns are ignored. An empty table gives none.
     """
-    rows, c = _classified(docs, similarity)
+    d = _with_node(docs)
+    c = _classified(d, similarity)
     by = c.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n_texts"))
-    classes = c.select("node", "root").join(by, "root").select("node", "class_id", "class_size", "n_texts")
-    return rows.join(classes, "node").select("doc_id", "class_id", "class_size", "n_texts")
+    classes = cut(join_counted(c.select("node", "root", "copies"), by, "root", "n_texts", c.count()).select("node", "copies", "class_id", "class_size", "n_texts"), "by_text")
+    rows = cut(d.select("doc_id", "node"), "rows")
+    found = join_counted(rows, classes, "node", "copies", _total(c, "copies"))
+    return found.select("doc_id", "class_id", "class_size", "n_texts")
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -311,10 +438,11 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     All columns are kept. Which rows stay is decided on narrow rows; then the texts are dealt once.
     """
-    _, c = _classified(docs, similarity)
+    c = _classified(_with_node(docs), similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"))).alias("first")
     kept = c.groupBy("root").agg(first).select("first.kept_id", "first.kept_node")
     at = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"))
-    at = at.withColumn("id", F.col("row.doc_id").cast("bigint")).withColumn("node", F.unhex(F.md5(F.coalesce(F.col("row.text").cast("string"), F.lit("")))))
-    at = at.join(kept, (F.col("node") == F.col("kept_node")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["node", "id"])
+    at = at.withColumn("id", F.xxhash64(F.col("row.doc_id").cast("bigint"))).withColumn("node", F.unhex(F.md5(F.coalesce(F.col("row.text").cast("string"), F.lit("")))))
+    kept = kept.select(F.xxhash64("kept_id").alias("id"), F.col("kept_node").alias("node"))
+    at = at.join(kept, ["node", "id"], "left_semi").dropDuplicates(["node", "id"])
     return at.select(*[F.col("row").getField(x).alias(x) for x in docs.columns])
