@@ -23,23 +23,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import sharedfs
-from loomgraph.llm.bpe import Generations, Words, slices
-from loomgraph.llm.common import small_batches, texts, work_dir
+from loomgraph.llm.bpe import Words, vocabulary
+from loomgraph.llm.common import small_batches, work_dir
 
 MAGIC, BLOCK = b"LOOMDAC1", 512
 #: Tokens after which a file ends; it bounds the memory of a writer or reader.
 FILE_TOKENS = 8_000_000
 NO_ID = -(2**63)
-#: Words after a blank that a worker keeps in each of two generations; signs that may follow a word.
-SPACED_KEPT, SIGNS = 400_000, ".,;:!?#$%&*"
+#: Bytes of texts that are encoded at once.
+AT_ONCE = 12 << 20
+#: Words behind a blank that a worker keeps; how byte-level vocabularies write a blank.
+SPACED_KEPT, BLANK = 1_200_000, "\u0120"
+#: Words that aren't encoded together with others: with white space but newlines inside, or what may be a special token.
+NOT_JOINED = r"\A(?:[\s\x1c-\x1f]|\z)|[\s\x1c-\x1f]\z|[\t\r\f\v\x1c-\x1f]|<\|"
 #: A piece is a run of blanks with the word after it: pre-tokens never reach from a word into blanks.
 PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-#: White space beyond blank and newline, or a run of both before a word, where cutting at blanks alone could go wrong.
-ODD = re.compile("[\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: White space beyond blank and newline, where cutting at blanks could go wrong.
+OTHER = "\\t\\x0b-\\r\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ODD = re.compile(f"[{OTHER}]")
+#: The same, or a run of blanks and newlines before a blank.
+UNEVEN = f"[{OTHER}]|[ \\n] "
 
 
 class Levels:
@@ -99,7 +107,7 @@ class Levels:
         return out
 
 
-def pack(doc_ids: list[int], lengths: list[int], ids: np.ndarray) -> list[bytes]:
+def pack(doc_ids, lengths, ids: np.ndarray) -> list[bytes]:
     """A file's byte strings."""
     starts = np.zeros(len(lengths) + 1, "<i8")
     np.cumsum(lengths, out=starts[1:])
@@ -119,62 +127,125 @@ def pack(doc_ids: list[int], lengths: list[int], ids: np.ndarray) -> list[bytes]
     return [MAGIC, head.tobytes(), np.array(doc_ids, "<i8").tobytes(), starts.tobytes(), *[x for p in parts for x in p]]
 
 
-def pieces(text: str) -> tuple[list[str], list[str]] | None:
-    """A text as (pieces, words after one blank each), cut where no pre-token of byte-level BPE can cross; None if
-    that isn't sure."""
-    if ODD.search(text):
-        return None
-    if "  " in text or "\n " in text:
-        return PIECE.findall(text), []
-    first, *rest = text.split(" ")
-    return [first] if first else [], rest
+def plain(texts_: pa.Array) -> np.ndarray:
+    """Which texts have single blanks only, so that no pre-token of byte-level BPE crosses a cut before a blank."""
+    return ~pc.match_substring_regex(texts_, UNEVEN).to_numpy(zero_copy_only=False)
 
 
 class ByteEncoder:
-    """Encodes texts by distinct piece. A new word of letters and punctuation after it is encoded by its two
-    pre-tokens, so a word is encoded once whatever sign follows it."""
+    """Encodes texts by distinct piece; a text is gathered from the ids of its pieces.
+
+    Texts are split at blanks, and equal words numbered, by Arrow. A worker keeps the ids of words met behind a
+    blank in one array, until it holds more than SPACED_KEPT words. New words are encoded together in one text.
+    """
 
     def __init__(self, path: str):
         self.words = Words(path)
-        self.after = Generations(SPACED_KEPT)
-
-    def learn(self, lists: list[list[str]]) -> None:
-        """Afterwards ``self.after.young`` has the ids of each word with a blank before it."""
-        self.after.turn()
-        young, old = self.after.young, self.after.old
-        parts, new, signs = [], set(), set()
-        for w in {w for x in lists for w in x if w not in young}:
-            if (found := old.get(w)) is not None:
-                young[w] = found
-                continue
-            base = w.rstrip(SIGNS)
-            if len(base) < len(w) and base.isalpha():
-                signs.add(w[len(base) :])
-                parts.append((w, base, w[len(base) :]))
-                if base not in young:
-                    if (found := old.get(base)) is not None:
-                        young[base] = found
-                    else:
-                        new.add(base)
+        names = vocabulary(self.words.tokenizer)
+        self.blank = np.array([x.startswith(BLANK) for x in names] or [False])
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+        self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _add(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep words of known ids."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used += len(ids)
+        self.known = pa.concat_arrays([self.known, words])
+
+    def _alone(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        own = self.words.encode([" " + w for w in words.to_pylist()])
+        return np.frombuffer(b"".join(own), np.uint32), np.array([len(x) // 4 for x in own], np.int64)
+
+    def _joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, numbers of ids) of words without white space, each behind a blank, encoded in one text.
+
+        Pre-tokens begin at such a blank, and only those do; if their count is another, words are encoded alone.
+        """
+        text = " " + pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py()
+        ids = np.array(self.words.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        first = np.flatnonzero(self.blank[ids])
+        return (ids, np.diff(np.append(first, len(ids)))) if len(first) == len(words) else self._alone(words)
+
+    def places(self, distinct: pa.Array) -> np.ndarray:
+        """Where ``starts`` and ``sizes`` have the words as they are behind a blank; new ones are learned."""
+        if len(self.known) > SPACED_KEPT:
+            self._clear()
+        at = pc.index_in(distinct, value_set=self.known)
+        if at.null_count:
+            new = distinct.filter(pc.is_null(at))
+            alone = pc.match_substring_regex(new, NOT_JOINED)
+            if pc.any(alone).as_py():
+                self._add(x := new.filter(alone), *self._alone(x))
+                new = pa.concat_arrays([x, y := new.filter(pc.invert(alone))])
             else:
-                new.add(w)
-        self.words.learn([list(signs)])
-        todo = list(new)
-        for i in range(0, len(todo), 20_000):
-            young.update(zip(todo[i : i + 20_000], self.words.encode([" " + w for w in todo[i : i + 20_000]]), strict=True))
-        for w, base, sign in parts:
-            young[w] = young[base] + self.words.memo.young[sign]
+                y = new
+            for i in range(0, len(y), 5000):
+                self._add(z := y.slice(i, 5000), *self._joined(z))
+            found = at.to_numpy(zero_copy_only=False)
+            place = np.where(np.isnan(found), -1, found).astype(np.int64)
+            place[place < 0] = len(self.known) - len(new) + pc.index_in(distinct.filter(pc.is_null(at)), value_set=new).to_numpy()
+            return place
+        return at.to_numpy().astype(np.int64)
+
+    def flat(self, some: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of ids, ids) of all texts in order."""
+        even = plain(some)
+        split = pc.split_pattern(some.filter(pa.array(even)), " ")
+        split = split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split
+        count = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = split.flatten().dictionary_encode()
+        place = self.places(words.dictionary)[words.indices.to_numpy()]
+        starts, sizes = self.starts[place], self.sizes[place]
+        doc = np.repeat(np.flatnonzero(even), count)
+        # a text's first word has no blank before it, and other texts are encoded on their own
+        first = np.cumsum(count) - count
+        firsts = split.flatten().take(pa.array(first)).to_pylist()
+        others = some.filter(pa.array(~even)).to_pylist()
+        self.words.learn([[w] for w in firsts if w])
+        memo = self.words.memo.young
+        own = [memo[w] if w else b"" for w in firsts]
+        cut = [None if ODD.search(t) else PIECE.findall(t) for t in others]
+        self.words.learn(x for x in cut if x)
+        memo = self.words.memo.young
+        whole = iter(self.words.encode([t for t, x in zip(others, cut, strict=True) if x is None]))
+        own += [next(whole) if x is None else b"".join(map(memo.__getitem__, x)) for x in cut]
+        flat = np.concatenate([self.ids[: self.used], np.frombuffer(b"".join(own), np.uint32)])
+        n = np.array([len(x) // 4 for x in own], np.int64)
+        at = self.used + np.cumsum(n) - n
+        starts[first], sizes[first] = at[: len(first)], n[: len(first)]
+        if len(others):
+            order = np.argsort(np.concatenate([doc, np.flatnonzero(~even)]), kind="stable")
+            doc = np.concatenate([doc, np.flatnonzero(~even)])[order]
+            starts, sizes = np.concatenate([starts, at[len(first) :]])[order], np.concatenate([sizes, n[len(first) :]])[order]
+        lengths = np.bincount(doc, sizes, len(some)).astype(np.int64)
+        total = int(sizes.sum())
+        number = np.int32 if max(total, len(flat)) < 2**31 else np.int64
+        at = np.repeat((starts - (np.cumsum(sizes) - sizes)).astype(number), sizes)
+        at += np.arange(total, dtype=number)
+        return lengths, flat[at]
 
     def encode(self, some: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in some]
-        self.learn([x[1] for x in cut if x])
-        self.words.learn(x[0] for x in cut if x)
-        plain, after = self.words.memo.young, self.after.young
-        odd = [i for i, x in enumerate(cut) if x is None]
-        out = [b"" if x is None else b"".join([*map(plain.__getitem__, x[0]), *map(after.__getitem__, x[1])]) for x in cut]
-        for i, ids in zip(odd, self.words.encode([some[i] for i in odd]), strict=True):
-            out[i] = ids
-        return out
+        """The ids of each text as bytes."""
+        lengths, ids = self.flat(pa.array(some, pa.string()))
+        ends = np.cumsum(lengths)
+        return [ids[a:b].tobytes() for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+
+
+def runs(some: pa.Array) -> Iterator[range]:
+    """Ranges of texts of about AT_ONCE bytes at most, or of one text."""
+    ends, at = np.cumsum(pc.binary_length(some).to_numpy(zero_copy_only=False)), 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+        yield range(at, to)
+        at = to
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}
@@ -198,33 +269,42 @@ def write_codes(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int =
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("range", F.spark_partition_id())
-    end = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer_path)
-        held, lengths, ids, number, total, where = [], [], [], 0, 0, 0
+        doc_ids, lengths, ids, number, total, where = [], [], [], 0, 0, 0
+        held: list[pa.RecordBatch] = []
 
         def flush():
             path = f"{folder}/ids-{where:06d}-{number:04d}-{uuid.uuid4().hex}.dac"
-            sharedfs.write(path, pack(held, lengths, np.frombuffer(b"".join(ids), "<u4")))
-            return pa.RecordBatch.from_pydict({"range": pa.array([where], pa.int32()), "number": pa.array([number], pa.int32()), "path": [path], "n_docs": [len(held)], "n_tokens": [total]})
+            own, n = np.concatenate(doc_ids), np.concatenate(lengths)
+            sharedfs.write(path, pack(own, n, np.concatenate(ids)))
+            return pa.RecordBatch.from_pydict({"range": pa.array([where], pa.int32()), "number": pa.array([number], pa.int32()), "path": [path], "n_docs": [len(own)], "n_tokens": [total]})
+
+        def encode():
+            t = pa.Table.from_batches(held)
+            for part in runs(t.column(1).combine_chunks()):
+                n, x = e.flat(t.column(1).slice(part.start, len(part)).combine_chunks())
+                lengths.append(n + 1)
+                ids.append(np.insert(x, np.cumsum(n), end_id))
+                yield part
+            doc_ids.append(t.column(0).to_numpy())
 
         for b in batches:
             if b.num_rows:
                 where = b.column(2)[0].as_py()
-            docs_in, said = b.column(0).to_pylist(), texts(b.column(1))
-            done = 0
-            for part in slices(said):
-                for x in e.encode(part):
-                    held.append(docs_in[done])
-                    done += 1
-                    ids += (x, end)
-                    lengths.append(len(x) // 4 + 1)
-                    total += lengths[-1]
-                    if total >= FILE_TOKENS:
-                        yield flush()
-                        held, lengths, ids, number, total = [], [], [], number + 1, 0
+                held.append(b.select([0, 1]))
+            if sum(x.column(1).nbytes for x in held) >= AT_ONCE:
+                for _ in encode():
+                    total += int(lengths[-1].sum())
+                held = []
+                if total >= FILE_TOKENS:
+                    yield flush()
+                    doc_ids, lengths, ids, number, total = [], [], [], number + 1, 0
         if held:
+            for _ in encode():
+                total += int(lengths[-1].sum())
+        if doc_ids:
             yield flush()
 
     written = d.mapInArrow(work, "range int, number int, path string, n_docs bigint, n_tokens bigint")

@@ -325,7 +325,7 @@ def _verify(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     each of its slots once, sorted before the others, so a task holds one such bag and a batch of others.
     """
     sizes = bags.select(F.col("nid").alias("b"), "size")
-    narrow = pairs.join(sizes, "b")
+    narrow = cut(pairs.join(sizes, "b"), "narrow")
     per = narrow.groupBy("a").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     per = cut(per.select("a", "n", F.ceil((F.col("bytes") + 1) / SLOT).cast("int").alias("slots")), "per")
     dealt = join_counted(narrow.drop("size"), per, "a", "n", _total(per, "n"))
@@ -346,7 +346,9 @@ def _verify(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
                 good.append(other is not None and _overlap(held, x) >= similarity)
             yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
 
-    return every.select("a", "b", "bag").mapInArrow(work, "a bigint, b bigint")
+    good = cut(every.select("a", "b", "bag").mapInArrow(work, "a bigint, b bigint"), "links")
+    discard(narrow, per)
+    return good
 
 
 def _total(counted: DataFrame, column: str) -> int:
@@ -392,7 +394,7 @@ def _classified(docs: DataFrame, similarity: float) -> DataFrame:
     pairs = member.join(hubs, "key").where("nid <> hub").select(F.col("hub").alias("a"), F.col("nid").alias("b")).distinct()
     sig = shared.select("nid", "sig")
     likely = cut(_likely(pairs, sig, similarity), "likely")
-    links = cut(_verify(likely, bags, similarity), "links")
+    links = _verify(likely, bags, similarity)
     discard(likely)
     found = cut(components(links).withColumnRenamed("node", "nid"), "found")
     rows = member.join(found, "nid", "left").select("key", "nid", F.coalesce("root", "nid").alias("root"))
@@ -400,7 +402,7 @@ def _classified(docs: DataFrame, similarity: float) -> DataFrame:
     rows = cut(rows.join(open_keys, "key"), "open")
     more = cut(_blocks(rows.join(shared.select("nid", "bands", "sig"), "nid"), similarity), "more")
     discard(member, rows)
-    new = cut(_verify(more, bags, similarity), "links")
+    new = _verify(more, bags, similarity)
     discard(shared, bags, more)
     if not new.isEmpty():
         found, old = cut(components(links.unionByName(new)).withColumnRenamed("node", "nid"), "found"), found
