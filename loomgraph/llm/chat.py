@@ -68,21 +68,23 @@ def format_chats(
 
     ``content`` is a string or an array of parts (PART). ``loss_mask`` lists (turn, start, length): the
     ordinal of the turn from 0, the code point offset from 1 inside that turn's segment, and the length.
-    Turns are ordered by ``turn`` (null first), ties by role, then by content. A null role or text is empty,
+    Turns are ordered by ``turn`` (null first), ties by role, then by the unescaped text, by code point, then by the
+    formatted parts. A null role or text is empty,
     a null content array has no parts, rows with a null ``conv`` form one conversation. Repeated rows are
     repeated turns. Other columns are ignored, so they may have any name. No rows give no rows.
     """
     is_text = dict(rows.dtypes)[content] == "string"
     parts = text_part(F.col(f"`{content}`")) if is_text else F.coalesce(F.col(f"`{content}`"), F.from_json(F.lit("[]"), f"array<{PART}>"))
     r = rows.select(F.col(f"`{conv}`").alias("conv_id"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), parts.alias("parts"))
-    r = r.withColumn("head", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY))).withColumn("body", F.concat_ws("", F.transform("parts", visit_text)))
+    raw = F.concat_ws("", F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))))
+    r = r.withColumn("raw", raw).withColumn("head", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY))).withColumn("body", F.concat_ws("", F.transform("parts", visit_text)))
     seen = F.filter("parts", lambda p: F.coalesce(p["kind"], F.lit("text")) != "text")
     refs = F.transform(seen, lambda p: F.struct(p["kind"].alias("kind"), p["uri"].alias("uri"), visit_tokens(p, image_patch, audio_rate, page_tokens).alias("tokens")))
     r = r.select(
-        "conv_id", "turn", "role", F.concat("head", "body", F.lit(END)).alias("segment"), (F.length("head") + 1).alias("start"),
+        "conv_id", "turn", "role", "raw", F.concat("head", "body", F.lit(END)).alias("segment"), (F.length("head") + 1).alias("start"),
         F.when(F.col("role") == learn_role, F.length("body")).otherwise(0).alias("length"), refs.alias("refs"),
     )
-    g = r.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "segment", "start", "length", "refs"))).alias("turns"))
+    g = r.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "raw", "segment", "start", "length", "refs"))).alias("turns"))
     mask = F.filter(
         F.transform("turns", lambda t, i: F.struct(i.alias("turn"), t["start"].alias("start"), t["length"].alias("length"))), lambda m: m["length"] > 0
     )

@@ -309,8 +309,11 @@ def write_codes(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int =
 
     written = d.mapInArrow(work, "range int, number int, path string, n_docs bigint, n_tokens bigint")
     written.write.parquet(f"{folder}/written")
-    before = Window.orderBy("range", "number").rowsBetween(Window.unboundedPreceding, -1)
-    m = spark.read.parquet(f"{folder}/written").withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    # sums before a file: inside its range, and over one row a range
+    w = spark.read.parquet(f"{folder}/written")
+    until = lambda by: F.coalesce(F.sum("n_tokens").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = w.groupBy("range").agg(F.sum("n_tokens").alias("n_tokens")).select("range", until(Window.orderBy("range")).alias("before"))
+    m = w.withColumn("start", until(Window.partitionBy("range").orderBy("number"))).join(ranges, "range").withColumn("start", F.col("start") + F.col("before")).drop("before")
     m.write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 

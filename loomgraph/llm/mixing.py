@@ -86,14 +86,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     """All columns of ``docs`` with size, source_size, target, repeats and taken.
 
     Size counts runs of characters other than ASCII white space; a null text has size 0. Documents of size 0
-    are repeated like others but take nothing. A null source is a source of its own. Repeated rows share a
+    are repeated like others but take nothing. A document without an id is told from others by its text. A null source is a source of its own. Repeated rows share a
     hash and are decided alike. An empty table gives an empty table. Columns of ``docs`` named like a new one
     are replaced.
     """
     own = {"size", "source_size", "target", "repeats", "taken"}
     kept = [c for c in docs.columns if c not in own]
     at = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
-    at = at.select("row", F.col("row.source").alias("source"), n_words(F.col("row.text")).alias("size"), doc_hash(F.col("row.doc_id")).alias("h"))
+    # documents without an id differ by text
+    mark = F.coalesce(F.col("row.doc_id").cast("string"), F.concat(F.lit("null "), F.coalesce(F.col("row.text").cast("string"), F.lit(""))))
+    at = at.select("row", F.col("row.source").alias("source"), n_words(F.col("row.text")).alias("size"), doc_hash(mark).alias("h"))
     sizes = cut(at.select("source", "size", "h"))
     targets = cut(source_targets(sizes, weights, share, most))
     found = thresholds(sizes, targets).select(F.col("source").alias("s"), "whole", "cut_at")
@@ -113,7 +115,7 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15) AS h FROM documents),
+    substr(md5(coalesce(doc_id::VARCHAR, 'null ' || coalesce(text, ''))), 1, 15) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s),
 r AS (SELECT *, source_size * 2.0::DOUBLE / weight AS ratio FROM w),

@@ -24,8 +24,8 @@ from loomgraph.llm.langid import fold, labelled_sample
 from loomgraph.llm.nearcopy import mix
 
 GRAMS, BUCKETS, DIM, KEPT = (3, 4, 5), 1 << 19, 8, 300_000
-#: The sample that the model is fitted on: documents of each label, and words of one document at most.
-DOCS_EACH, WORDS_EACH, EPOCHS, BATCH = 1500, 2000, 5, 32
+#: The sample that the model is fitted on: documents of each label at most, read whole.
+DOCS_EACH, EPOCHS, BATCH = 1500, 5, 32
 #: Table rows that fewer documents of the sample have stay zero.
 LEAST_DOCS = 4
 #: Toxic words are a few in hundreds, so a mean over words is scaled up before the softmax.
@@ -160,8 +160,6 @@ def fit(rows: list[tuple[str, int]], seed: int) -> Model:
     bags = []
     for t, _ in rows:
         words = t.split()
-        if len(words) > WORDS_EACH:
-            words = [words[i] for i in r.choice(len(words), WORDS_EACH, replace=False)]
         ids, n = np.unique([names.setdefault(w, len(names)) for w in words] or [names.setdefault("", len(names))], return_counts=True)
         bags.append((ids, (n / n.sum()).astype(np.float32)))
     flat, sizes = subwords(list(names))
@@ -272,8 +270,12 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[
 
 
 def learn(docs: DataFrame, labels: DataFrame, where=None) -> Model | None:
-    """Fit on at most DOCS_EACH labelled documents of each label; labels has doc_id and toxic."""
-    l = labels.select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    """Fit on at most DOCS_EACH labelled documents of each label; labels has doc_id and toxic.
+
+    A doc_id with both labels is toxic. Null labels, ids or texts, and labels other than 0 and 1, teach nothing.
+    The bound is in rows; the driver holds those texts whole, however long.
+    """
+    l = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     l = l.where(where if where is not None else F.lit(True))
     n = {r["toxic"]: r["count"] for r in l.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
     d = docs.select("doc_id", "text").join(l, "doc_id")
