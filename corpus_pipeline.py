@@ -19,8 +19,11 @@ LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters, or in which no language prevails."""
+    """Drop documents without letters, or in which no language prevails. Where no row has a language, nothing can be
+    learned, and only documents without letters go."""
     net = langid.learn(docs)
+    if net is None:
+        return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
     d = langid.predict(docs.select(*COLUMNS), net, keep=COLUMNS)
     return d.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
