@@ -215,6 +215,26 @@ def decode_entities(c: Column) -> Column:
     return c
 
 
+def _reference(name: Column) -> Column:
+    """The character of a reference without & and ;, null if it is unknown."""
+    digits = F.when(name.rlike("^#[xX][0-9a-fA-F]{1,6}$"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.rlike("^#[0-9]{1,7}$"), F.substring(name, 2, 7))
+    n = digits.cast("int")
+    valid = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    found = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    for word, sign in ENTITIES.items():
+        found = F.when(name == word, F.lit(sign)).otherwise(found)
+    return found
+
+
+def decode_references(c: Column) -> Column:
+    """struct(text, unresolved): predefined, decimal and hexadecimal references decoded once; others stay and count."""
+    parts = F.split(c, "(?=&)")
+    name = lambda x: F.regexp_extract(x, "^&([^&;]{1,32});", 1)
+    said = F.transform(parts, lambda x: F.when(name(x) == "", x).otherwise(F.coalesce(F.concat(_reference(name(x)), F.substring(x, F.length(name(x)) + 3, F.length(x))), x)))
+    lost = F.filter(parts, lambda x: (name(x) != "") & _reference(name(x)).isNull())
+    return F.struct(F.concat_ws("", said).alias("text"), F.size(lost).alias("unresolved"))
+
+
 def search_score(lower: Column, q: str, degree: Column) -> Column:
     """2^60 if equal, else (degree + 1) x 100 for a prefix, 30 for a word's prefix, 1 for a part; null otherwise."""
     words = F.exists(F.split(lower, r"[^\p{IsAlphabetic}\p{N}]+"), lambda w: F.startswith(w, F.lit(q)))

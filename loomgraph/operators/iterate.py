@@ -15,7 +15,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations
     if not n:
         return nodes.select("id", F.lit(0.0).alias("pagerank"))
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
-    e = cut(edges.join(out, "src").select("src", "dst", "out").repartition("src"))
+    e = cut(edges.join(out, "src").select("src", "dst", "out"))
     dangling = cut(nodes.select("id").join(out.select(F.col("src").alias("id")), "id", "left_anti"))
     r = cut(nodes.select("id", F.lit(1.0 / n).alias("pagerank")))
     for _ in range(iterations):
@@ -44,6 +44,8 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
         e = new
         if same:
             break
+    else:
+        raise RuntimeError("components did not settle")
     return nodes.select("id").join(e.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

@@ -21,13 +21,15 @@ def distances(edges: DataFrame, sources: DataFrame, max_depth: int, banned: Data
     ``banned`` (id) are never entered; sources are exempt. ``reverse`` follows links backwards.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    e = cut(edges.select(F.col(a).alias("id"), F.col(b).alias("next")))
+    e = edges.select(F.col(a).alias("id"), F.col(b).alias("next"))
+    if banned is not None:
+        banned = cut(banned.select("id"))
+        e = e.join(banned.withColumnRenamed("id", "next"), "next", "left_anti")
+    e = cut(e)
     level = cut(sources.select(F.col("id").alias("source"), "id").distinct().withColumn("dist", F.lit(0)))
     seen = level
     for d in range(1, max_depth + 1):
         step = level.join(e, "id").select("source", F.col("next").alias("id")).distinct()
-        if banned is not None:
-            step = step.join(banned.select("id"), "id", "left_anti")
         level = cut(step.join(seen.select("source", "id"), ["source", "id"], "left_anti").select("source", "id").withColumn("dist", F.lit(d)))
         if level.isEmpty():
             break
@@ -61,7 +63,7 @@ def path_counts(edges: DataFrame, pairs: DataFrame, max_depth: int, banned: Data
     walked from either end, and products are summed over the cut at half the length.
     """
     e = cut(edges)
-    inner = e if banned is None else cut(e)
+    inner, banned = e, None if banned is None else cut(banned.select("id"))
     half_f, half_b = (max_depth + 1) // 2, max_depth // 2
     number = F.lit(1).cast("decimal(38,0)")
     p = cut(pairs.select("pair_id", "src", "dst"))
@@ -101,6 +103,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int, banned: D
     """
     e = cut(edges)
     p = cut(pairs.select("pair_id", "src", "dst"))
+    banned = None if banned is None else cut(banned.select("id"))
     level = p.select("pair_id", F.col("src").alias("v"), F.array("src").alias("path"), "dst")
     seen = level.select("pair_id", "v")
     done = level.where("v = dst").select("pair_id", F.lit(0).alias("length"), "path")

@@ -198,7 +198,7 @@ def strip_element(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(T.strip_element(F.col("html"), "script")).alias("h"))
 
 
-@query("SELECT doc_id, least(length(text), (SELECT max(i) FROM range(0, 161) t(i) WHERE strlen(left(text, i::INT)) <= 160))::BIGINT AS n FROM (SELECT doc_id, text FROM documents WHERE lang <> 'en')")
+@query("SELECT doc_id, least(length(text), (SELECT max(i) FROM range(0, 161) t(i) WHERE strlen(left(text, i::INT)) <= 160))::BIGINT AS n FROM documents")
 def truncate_description(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(T.cut_bytes(F.col("text"), 160)).cast("bigint").alias("n"))
 
@@ -314,7 +314,7 @@ def landmarks(spark, d):
     return regions.landmarks(ranked(spark, d), 15)
 
 
-VOTES = "WITH " + NODES_SQL + """, m AS (SELECT * FROM (SELECT community, id, row_number() OVER (PARTITION BY community ORDER BY id) r FROM nodes) WHERE r <= 40),
+VOTES = "WITH " + NODES_SQL + """, m AS (SELECT * FROM (SELECT community, id, row_number() OVER (PARTITION BY community ORDER BY id) r FROM nodes) WHERE r <= 20000),
 v AS (SELECT m.community, category, count(*) AS votes FROM m JOIN nodes USING (id) GROUP BY 1, 2 HAVING count(*) >= 3),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY votes DESC, category) AS rank FROM v) """
 
@@ -379,8 +379,9 @@ def link_ordering(spark, d):
     return l.select("id", F.row_number().over(Window.orderBy("banned", F.desc("degree"), "id")).cast("bigint").alias("place"))
 
 
-@query(GRAPH + """, l AS (SELECT community, count(*) AS n FROM nodes WHERE id IN (SELECT dst FROM edges WHERE src % 10 = 0) GROUP BY community), s AS (SELECT count(*) FILTER (n < 60) AS small FROM l)
-SELECT CASE WHEN n < 60 AND small > 1 THEN '__misc' ELSE community END AS community, sum(n)::BIGINT AS n FROM l, s GROUP BY 1""")
+@query(GRAPH + """, l AS (SELECT src AS article, community, count(*) AS n FROM edges JOIN nodes ON id = dst GROUP BY ALL),
+s AS (SELECT article, count(*) FILTER (n < 3) AS small FROM l GROUP BY article)
+SELECT article, CASE WHEN n < 3 AND small > 1 THEN '__misc' ELSE community END AS community, sum(n)::BIGINT AS n FROM l JOIN s USING (article) GROUP BY ALL""")
 def link_grouping(spark, d):
     """The links of every article, grouped as its list shows them."""
     l = edges(spark, d).join(nodes(spark, d).select(F.col("id").alias("dst"), "community"), "dst").select(F.col("src").alias("article"), "community")
@@ -493,13 +494,14 @@ def pagerank_5iter(spark, d):
     return r.select("id", F.round(F.col("pagerank") * 1e6, 4).alias("score"))
 
 
-THIN = "thin AS (SELECT src, dst FROM edges WHERE (src * 31 + dst * 17) % 24 = 0)"
+#: Least labels spread over all edges until none changes.
+COMPONENTS = RECURSIVE + """u AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+c(id, component) USING KEY (id) AS (SELECT id, id FROM nodes
+  UNION SELECT u.b, min(c.component) FROM c JOIN u ON c.id = u.a JOIN recurring.c AS r ON r.id = u.b WHERE c.component < r.component GROUP BY u.b) """
 
 
-@query(RECURSIVE + THIN + """, u AS (SELECT src AS a, dst AS b FROM thin UNION SELECT dst, src FROM thin), c(a, b) AS (SELECT id, id FROM nodes UNION SELECT c.a, u.b FROM c JOIN u ON c.b = u.a)
-SELECT a AS id, min(b) AS component FROM c GROUP BY a""")
+@query(COMPONENTS + "SELECT id, component FROM c")
 def connected_components(spark, d):
-    """Over all edges; the SQL is still that of a thinned graph, see the README."""
     return iterate.components(nodes(spark, d), edges(spark, d))
 
 
@@ -511,9 +513,9 @@ def communities(spark, d):
 # --- pools
 
 
-@query(RECURSIVE + """ends AS (SELECT id FROM deg WHERE in_degree <= 24 ORDER BY in_degree DESC, id LIMIT 8), b(s, id, dist) AS (SELECT id, id, 0 FROM ends UNION SELECT s, e.dst, dist + 1 FROM b JOIN edges e ON e.src = b.id JOIN deg n ON n.id = e.dst WHERE dist < 5 AND n.in_degree <= 24),
+@query(RECURSIVE + """ends AS (SELECT id FROM deg WHERE in_degree <= 24 ORDER BY in_degree DESC, id LIMIT 20000), b(s, id, dist) AS (SELECT id, id, 0 FROM ends UNION SELECT s, e.dst, dist + 1 FROM b JOIN edges e ON e.src = b.id JOIN deg n ON n.id = e.dst WHERE dist < 5 AND n.in_degree <= 24),
 p AS (SELECT s AS src, id AS dst, min(dist)::INT AS par FROM b WHERE id IN (SELECT id FROM ends) GROUP BY 1, 2)
-SELECT src, dst, par FROM (SELECT *, row_number() OVER (PARTITION BY par ORDER BY md5(src || ':' || dst || ':0'), src, dst) AS r FROM p WHERE par BETWEEN 2 AND 5) WHERE r <= 10""")
+SELECT src, dst, par FROM (SELECT *, row_number() OVER (PARTITION BY par ORDER BY md5(src || ':' || dst || ':0'), src, dst) AS r FROM p WHERE par BETWEEN 2 AND 5) WHERE r <= 25000""")
 def pools_bucket_sample(spark, d):
     return pools.generate(edges(spark, d), deg(spark, d), 24, 2, 20_000, 25_000)
 
@@ -533,7 +535,14 @@ def pool_halves(spark, d):
     return pools.halves(pool(spark, d))
 
 
-@query()
+_PICK = pools.draws(pools.daily_seed(20_700, "medium"), 2)
+
+
+@query("WITH " + POOL + f""", h AS (SELECT *, row_number() OVER (PARTITION BY par ORDER BY routes, src, dst) - 1 AS r, count(*) OVER (PARTITION BY par) AS n FROM pool WHERE difficulty = 'medium'),
+w AS (SELECT DISTINCT par, (CASE par WHEN 3 THEN 40 WHEN 4 THEN 40 WHEN 5 THEN 15 WHEN 6 THEN 5 END)::UBIGINT AS weight FROM h),
+u AS (SELECT par, sum(weight) OVER (ORDER BY par) AS upto, sum(weight) OVER () AS total FROM w),
+c AS (SELECT min(par) AS par FROM u WHERE upto > {_PICK[0]}::UBIGINT % total)
+SELECT difficulty, par, src, dst, routes FROM h JOIN c USING (par) WHERE r = ({_PICK[1]}::UBIGINT % n::UBIGINT)::BIGINT""")
 def pool_pick(spark, d):
     return pools.pick(pool(spark, d), "medium", pools.daily_seed(20_700, "medium"))
 
@@ -583,7 +592,7 @@ def pct_at_par(spark, d):
     return runs.at_par(runs.histogram(board(spark, d)), 2)
 
 
-@query("WITH d AS (SELECT DISTINCT user_id AS player, (epoch(ts)::BIGINT // 86400)::BIGINT AS number FROM events WHERE event_id % 3 = 0), g AS (SELECT player, number - row_number() OVER (PARTITION BY player ORDER BY number) AS g FROM d) SELECT player, max(n)::BIGINT AS best FROM (SELECT player, g, count(*) n FROM g GROUP BY 1, 2) GROUP BY player")
+@query("WITH d AS (SELECT DISTINCT user_id AS player, (epoch(ts)::BIGINT // 86400)::BIGINT AS number FROM events), g AS (SELECT player, number - row_number() OVER (PARTITION BY player ORDER BY number) AS g FROM d) SELECT player, max(n)::BIGINT AS best FROM (SELECT player, g, count(*) n FROM g GROUP BY 1, 2) GROUP BY player")
 def streaks(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("player"), T.day_number(F.col("ts")).cast("bigint").alias("number"))
     return runs.streaks(e)
@@ -669,7 +678,7 @@ def normalized_positions(spark, d):
     return layout.normalized(sites(spark, d)).select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query("WITH " + SITES + ", q AS (SELECT p_partkey AS query, (p_partkey * 53 % 997)::DOUBLE AS x, (p_partkey * 71 % 991)::DOUBLE AS y FROM part WHERE p_partkey % 10 = 0), j AS (SELECT query, id, (q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y) AS d2 FROM q, sites s) SELECT query, id, d2 FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d2, id) AS r FROM j WHERE d2 <= 6400) WHERE r = 1")
+@query("WITH " + SITES + ", q AS (SELECT p_partkey AS query, (p_partkey * 53 % 997)::DOUBLE AS x, (p_partkey * 71 % 991)::DOUBLE AS y FROM part), j AS (SELECT query, id, (q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y) AS d2 FROM q, sites s) SELECT query, id, d2 FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d2, id) AS r FROM j) WHERE r = 1")
 def nearest_neighbour(spark, d):
     k = F.col("p_partkey")
     q = table(spark, d, "part").select(k.alias("query"), (k * 53 % 997).cast("double").alias("x"), (k * 71 % 991).cast("double").alias("y"))

@@ -46,7 +46,6 @@ def shards(nodes: DataFrame, edges: DataFrame, size: int = SHARD) -> DataFrame:
     out = edges.groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("ids"))
     j = F.to_json
     a = nodes.join(out, "id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
-    quoted = lambda c: F.substring(j(F.struct(F.coalesce(F.col(c), F.lit("")).alias("x"))), 6, 1 << 30)
     text = lambda c: F.expr(f"substring(to_json(named_struct('x', coalesce({c}, ''))), 6, length(to_json(named_struct('x', coalesce({c}, '')))) - 6)")
     row = F.concat(
         F.lit("["), F.concat_ws(",", F.col("id").cast("string"), text("title"), text("description"), F.coalesce("flags", F.lit(0)).cast("string"), F.coalesce("views", F.lit(0)).cast("string"), text("cast(community as string)"), F.coalesce("degree", F.lit(0)).cast("string"), j(delta_encode(F.col("ids")))), F.lit("]"),
@@ -76,3 +75,11 @@ def compass_document(levels: DataFrame, spark: SparkSession) -> DataFrame:
     by = levels.groupBy("dist").agg(delta_encode(F.collect_list(F.col("id").cast("bigint"))).alias("ids"))
     one = by.agg(F.max("dist").alias("d"), F.transform(F.sort_array(F.collect_list(F.struct("dist", "ids"))), lambda x: x["ids"]).alias("l"))
     return one.select(F.to_json(F.struct("d", "l")).alias("doc"))
+
+
+def read_compass(docs: DataFrame) -> DataFrame:
+    """id, dist of compass documents (doc), decoded."""
+    from loomgraph.functions.text import delta_decode
+
+    levels = F.from_json(F.get_json_object("doc", "$.l"), "array<array<bigint>>")
+    return docs.select(F.posexplode(levels).alias("pos", "ids")).select(F.explode(delta_decode(F.col("ids"))).alias("id"), (F.col("pos") + 1).alias("dist"))
