@@ -36,8 +36,12 @@ def token_bucket(requests: DataFrame, burst: float, per_s: float) -> DataFrame:
     return out.select("client", F.explode(F.arrays_zip(F.col("r.seq").alias("seq"), F.col("ok").alias("allowed"))).alias("x")).select("client", "x.seq", "x.allowed")
 
 
-def token_bucket_stream(requests: DataFrame, burst: float, per_s: float, idle_ms: int = 600_000) -> DataFrame:
-    """The same over a stream; a client's state is two numbers and goes when it has been idle."""
+def token_bucket_stream(requests: DataFrame, burst: float, per_s: float) -> DataFrame:
+    """The same over a stream; a client's state is two numbers and goes when its bucket must be full again.
+
+    That is told by the clock, so a replay whose event time runs slower than the clock must not use it.
+    """
+    idle_ms = 1000 + int(1000 * burst / per_s) if per_s > 0 else 365 * 86_400_000
 
     def work(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -113,7 +117,11 @@ def gathered(stream: DataFrame, mode: str = "append", once: bool = False) -> Dat
 
     spark = stream.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    how = "overwrite" if mode == "complete" else "append"
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(**({"once": True} if once else {"availableNow": True})).foreachBatch(lambda df, _: df.write.mode(how).parquet(f"{at}/out")).start()
+
+    def write(df: DataFrame, batch: int) -> None:
+        # a batch that is run again replaces what it wrote
+        df.write.mode("overwrite").parquet(f"{at}/out/{0 if mode == 'complete' else batch}")
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(**({"once": True} if once else {"availableNow": True})).foreachBatch(write).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{at}/out")
