@@ -4,8 +4,8 @@ A document's bytes are cut where a rolling hash of the last 32 bytes has its low
 documents share is cut alike in all of them. A chunk met before in a worker is not encoded again. Of a new
 chunk the words between its first and last white space are encoded, each distinct word once a worker. The
 word across a chunk join is repaired: a window of the join and its neighbouring words is encoded anew and
-accepted if it agrees exactly with what both chunks have for their outer words; else the window grows, to the
-whole document at last. Caches are bounded, so a worker's memory does not grow with the corpus.
+accepted if it agrees exactly with what both chunks have for their outer words; else the window grows to the
+whole document in one step. Caches are bounded, so a worker's memory does not grow with the corpus.
 """
 
 from __future__ import annotations

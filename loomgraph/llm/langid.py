@@ -1,10 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
-A text is a run of units: its words with a blank on either side, long words in pieces of UNIT bytes. The
-network reads each unit's bytes in both directions and gives every position a probability for each language; a
-document's probabilities are the mean over all its positions. Units are independent, so a worker computes each
-distinct one once and keeps a bounded number of them. Training is backpropagation through time on the driver,
-over a bounded sample of labelled rows.
+The network reads a text's bytes in both directions, across words, and gives every position a probability for
+each language; a document's probabilities are the mean over all its positions. To read many texts at once they
+are cut into windows of WINDOW bytes, each read with CONTEXT more bytes on either side, from which its states
+warm up; those positions belong to the neighbours and aren't pooled. Training is backpropagation through time
+on the driver, over the whole texts of a bounded number of labelled rows.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.bpe import slices
 from loomgraph.llm.common import cut, small_batches
 
-UNIT, HIDDEN, KEPT = 30, 12, 300_000
-#: The sample that the network is fitted on: documents of each language, units in all.
-DOCS_EACH, UNITS_IN_ALL, EPOCHS, BATCH = 150, 24_000, 4, 256
+WINDOW, CONTEXT, HIDDEN = 448, 32, 12
+#: Windows that run at once; bytes of texts that are cut at once.
+AT_ONCE, PIECE = 512, 1 << 20
+#: The network is fitted on the whole texts of DOCS_EACH rows of each language at most, in pieces of TRAINED bytes;
+#: so many times that about BYTES_READ are read, once at least and EPOCHS times at most.
+DOCS_EACH, TRAINED, BYTES_READ, EPOCHS, BATCH = 150, 96, 4_000_000, 6, 64
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -87,8 +89,11 @@ def positions(net: Network, bytes_: np.ndarray) -> np.ndarray:
     return _softmax(np.concatenate([a, b[:, ::-1]], axis=2) @ net.out + net.bias)
 
 
-def gradients(net: Network, bytes_: np.ndarray, label: np.ndarray) -> tuple[list[np.ndarray], float]:
-    """Gradients of the mean cross entropy over all positions, by backpropagation through time; and the loss."""
+def gradients(net: Network, bytes_: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None) -> tuple[list[np.ndarray], float]:
+    """Gradients of the mean cross entropy over all positions, by backpropagation through time; and the loss.
+
+    ``weight`` multiplies each row's part of the gradients.
+    """
     n, length = bytes_.shape
     runs = [_run(bytes_, net.table[0], net.inner[0], True), _run(bytes_[:, ::-1], net.table[1], net.inner[1], True)]
     both = np.concatenate([runs[0][0], runs[1][0][:, ::-1]], axis=2)
@@ -96,6 +101,8 @@ def gradients(net: Network, bytes_: np.ndarray, label: np.ndarray) -> tuple[list
     loss = float(-np.log(p[np.arange(n), :, label] + 1e-9).mean())
     p[np.arange(n), :, label] -= 1
     p /= n * length
+    if weight is not None:
+        p *= weight[:, None, None].astype(p.dtype)
     d_out = both.reshape(-1, 2 * HIDDEN).T @ p.reshape(-1, p.shape[2])
     d_bias = p.sum(axis=(0, 1))
     d_both = p @ net.out.T
@@ -122,14 +129,10 @@ def gradients(net: Network, bytes_: np.ndarray, label: np.ndarray) -> tuple[list
     return [*tables, *inners, d_out, d_bias], loss
 
 
-def units(text: str) -> list[bytes]:
-    """The units of a text in order; together they hold all its bytes but white space."""
-    return [u for w in text.split() for u in _pieces(w)]
-
-
-def _pieces(word: str) -> list[bytes]:
-    b = word.encode("utf-8", "surrogatepass")
-    return [b" " + b[i : i + UNIT] + b" " for i in range(0, len(b), UNIT)]
+def pieces(text: str) -> list[bytes]:
+    """Pieces of TRAINED bytes that cover a text; the last one reaches back into the one before."""
+    b = text.encode("utf-8", "surrogatepass")
+    return [b[max(0, min(i, len(b) - TRAINED)) :][:TRAINED] for i in range(0, len(b), TRAINED)]
 
 
 def train(rows: list[tuple[str, str]], seed: int = 9) -> Network | None:
@@ -139,24 +142,26 @@ def train(rows: list[tuple[str, str]], seed: int = 9) -> Network | None:
         return None
     r, net = np.random.default_rng(seed), new_network(classes, seed)
     by: list[tuple[bytes, int]] = []
-    each = max(1, UNITS_IN_ALL // len(classes))
     for k, c in enumerate(classes):
-        own = [u for t, x in rows if x == c for u in units(t)]
-        if own:
-            by += [(own[i], k) for i in r.choice(len(own), min(each, len(own)), replace=False)]
+        by += [(u, k) for t, x in rows if x == c for u in pieces(t)]
     if not by:
         return net
     by.sort(key=lambda x: len(x[0]))
     lengths = np.array([len(u) for u, _ in by])
     p = net.parameters()
     m, v, step = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p], 0
-    for epoch in range(EPOCHS):
+    # every language weighs alike, however long its texts
+    share = np.bincount([k for _, k in by], weights=lengths, minlength=len(classes))
+    weight = np.clip(share.mean() / np.maximum(share, 1), 0.2, 5.0)
+    epochs = int(np.clip(BYTES_READ // max(1, lengths.sum()), 1, EPOCHS))
+    for epoch in range(epochs):
         jobs = [idx[i : i + BATCH] for n in np.unique(lengths) for idx in [r.permutation(np.flatnonzero(lengths == n))] for i in range(0, len(idx), BATCH)]
         for k in r.permutation(len(jobs)):
             some = [by[i] for i in jobs[k]]
-            g, _ = gradients(net, np.frombuffer(b"".join(u for u, _ in some), np.uint8).reshape(len(some), -1), np.array([c for _, c in some]))
+            label = np.array([c for _, c in some])
+            g, _ = gradients(net, np.frombuffer(b"".join(u for u, _ in some), np.uint8).reshape(len(some), -1), label, weight[label])
             step += 1
-            rate = 0.02 * (1 - epoch / EPOCHS) * min(1.0, len(some) / 64)
+            rate = 0.02 * (1 - epoch / epochs) * min(1.0, len(some) / 64)
             for x, d, a, b in zip(p, g, m, v, strict=True):
                 a += 0.1 * (d - a)
                 b += 0.01 * (d * d - b)
@@ -164,51 +169,78 @@ def train(rows: list[tuple[str, str]], seed: int = 9) -> Network | None:
     return net
 
 
+def _scores(bytes_: np.ndarray, table: np.ndarray, inner: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """What one direction adds to the logits: positions x rows x classes, of bytes (positions x rows)."""
+    n, h2 = bytes_.shape[1], 2 * HIDDEN
+    table, inner = table.copy(), inner.copy()
+    table[:, :h2] *= 0.5  # the sigmoid of x is half of tanh(x / 2), plus a half
+    inner[:, :h2] *= 0.5
+    h, x, u = np.zeros((n, HIDDEN), np.float32), np.empty((n, 3 * HIDDEN), np.float32), np.empty((n, 3 * HIDDEN), np.float32)
+    gates, states = np.empty((n, h2), np.float32), np.empty((len(bytes_), n, HIDDEN), np.float32)
+    for t, b in enumerate(bytes_):
+        np.take(table, b, axis=0, out=x)
+        np.matmul(h, inner, out=u)
+        np.add(x[:, :h2], u[:, :h2], out=gates)
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        new = np.tanh(x[:, h2:] + gates[:, HIDDEN:] * u[:, h2:])
+        np.subtract(h, new, out=h)
+        h *= gates[:, :HIDDEN]
+        h += new
+        states[t] = h
+    return states @ out
+
+
 class Reader:
-    """Pools position probabilities of texts; sums by distinct word are kept."""
+    """Pools position probabilities of texts."""
 
     def __init__(self, net: Network):
-        self.net, self.place = net, {}
-        self.sums = np.zeros((KEPT + 1, len(net.classes) + 1), np.float64)
-
-    def _learn(self, new: list[str]) -> None:
-        found = [(i, u) for i, w in enumerate(new) for u in _pieces(w)]
-        sums = np.zeros((len(new), self.sums.shape[1]))
-        lengths = np.array([len(u) for _, u in found])
-        for n in np.unique(lengths):
-            own = np.flatnonzero(lengths == n)
-            for i in range(0, len(own), 4096):
-                some = own[i : i + 4096]
-                p = positions(self.net, np.frombuffer(b"".join(found[k][1] for k in some), np.uint8).reshape(len(some), -1))
-                np.add.at(sums, [found[k][0] for k in some], np.concatenate([p.sum(axis=1), np.full((len(some), 1), n)], axis=1))
-        if len(self.place) + len(new) > KEPT:
-            self.place.clear()
-        at = len(self.place)
-        if at + len(new) > len(self.sums):  # more new words than are kept: only for this call
-            self.sums = np.zeros((at + len(new), self.sums.shape[1]))
-        self.sums[at : at + len(new)] = sums
-        self.place.update(zip(new, range(at, at + len(new)), strict=True))
-
-    def prepare(self, some: list[str]) -> None:
-        """Learn the words of several texts at once; it only saves time."""
-        new = {w for t in some for w in t.split() if w not in self.place}
-        if new and len(new) <= KEPT:
-            self._learn(list(new))
-
-    def read(self, text: str) -> np.ndarray:
-        """Mean probabilities of a text that has words."""
-        words = text.split()
-        total = np.zeros(self.sums.shape[1])
-        for i in range(0, len(words), 50_000):
-            some = words[i : i + 50_000]
-            new = list({w for w in some if w not in self.place})
-            if new:
-                if len(self.place) + len(new) > KEPT:
-                    self.place.clear()
-                    new = list(set(some))
-                self._learn(new)
-            total += self.sums[list(map(self.place.__getitem__, some))].sum(axis=0)
-        return total[:-1] / total[-1]
+        self.net = net
+
+    def read(self, some: list[str]) -> np.ndarray:
+        """Mean probabilities (texts x classes); zeros for empty texts."""
+        data = [t.encode("utf-8", "surrogatepass") for t in some]
+        sums, n = np.zeros((len(some), len(self.net.classes))), np.array([len(x) for x in data])
+        at = 0
+        while at < len(data):
+            to = max(at + 1, at + int(np.searchsorted(np.cumsum(n[at:]), PIECE, "right")))
+            # a longer text goes by parts, each with the context of its neighbours
+            for a in range(0, max(1, int(n[at])), PIECE) if to == at + 1 else [0]:
+                lo, hi = (max(0, a - CONTEXT), min(int(n[at]), a + PIECE + CONTEXT)) if to == at + 1 else (0, 0)
+                part = [data[at][lo:hi]] if to == at + 1 else data[at:to]
+                core = (a - lo, min(int(n[at]), a + PIECE) - lo) if to == at + 1 else None
+                sums[at:to] += self._sums(part, core)
+            at = to
+        return sums / np.maximum(n, 1)[:, None]
+
+    def _sums(self, data: list[bytes], core: tuple[int, int] | None) -> np.ndarray:
+        """Sums of position probabilities; ``core`` tells which positions of a single text count."""
+        net, k = self.net, len(self.net.classes)
+        buf = np.frombuffer(b"".join(data), np.uint8)
+        n = np.array([len(x) for x in data])
+        text_end = np.cumsum(n)
+        text_start = text_end - n
+        low, high = (np.array([core[0]]), np.array([core[1]])) if core else (text_start, text_end)
+        count = -(-(high - low) // WINDOW)
+        text = np.repeat(np.arange(len(data)), count)
+        own_a = low[text] + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * WINDOW
+        own_b = np.minimum(own_a + WINDOW, high[text])
+        a, b = np.maximum(own_a - CONTEXT, text_start[text]), np.minimum(own_b + CONTEXT, text_end[text])
+        sums = np.zeros((len(data), k))
+        order = np.argsort(b - a, kind="stable")
+        for i in range(0, len(order), AT_ONCE):
+            w = order[i : i + AT_ONCE]
+            steps = np.arange(int((b[w] - a[w]).max()))[:, None]
+            # beyond a window's end both directions read on, and nothing of it is pooled
+            ahead = _scores(buf[np.minimum(a[w] + steps, len(buf) - 1)].astype(np.intp), net.table[0], net.inner[0], net.out[:HIDDEN])
+            back = _scores(buf[np.maximum(b[w] - 1 - steps, 0)].astype(np.intp), net.table[1], net.inner[1], net.out[HIDDEN:])
+            size = own_b[w] - own_a[w]
+            row = np.repeat(np.arange(len(w)), size)
+            place = np.repeat(own_a[w] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            p = _softmax(ahead[place - a[w][row], row] + back[b[w][row] - 1 - place, row] + net.bias)
+            np.add.at(sums, text[w], np.add.reduceat(p, np.cumsum(size) - size, axis=0))
+        return sums
 
 
 _READERS: dict[str, Reader] = {}
@@ -245,10 +277,13 @@ def labelled_sample(docs: DataFrame, label: str, each: int, where: Column) -> li
 def predict(docs: DataFrame, net: Network | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` with lang_pred and score, the mean probability of lang_pred over all positions.
 
-    A null text, one without a letter, or any text when nothing was learned, is ``und`` with score 0. Rows are
-    kept, repeated ones too; other columns are ignored.
+    A null text, one without a letter, or any text when nothing was learned, is ``und`` with score 0. Texts of any
+    length are read whole; of languages with equal scores the first by name is told. Rows are kept, repeated ones
+    too; no rows give none. Other columns are ignored, and ``keep`` may not name the two that are added.
     """
     small_batches(docs.sparkSession)
+    if clash := {"lang_pred", "score"} & set(keep):
+        raise ValueError(f"columns {sorted(clash)} are added")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = net.key() if net else ""
@@ -256,21 +291,12 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", keep: tupl
             _READERS.clear()
             _READERS[key] = Reader(net)
         for b in batches:
-            said, scores, some = [], [], b.column(b.num_columns - 1).to_pylist()
-            ready = 0
-            for k, t in enumerate(some):
-                if net and k == ready:
-                    part = next(slices([x or "" for x in some[k:]], 1_000_000))
-                    _READERS[key].prepare(part)
-                    ready = k + len(part)
-                if not net or not t or not LETTER.search(t):
-                    said.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                p = _READERS[key].read(t)
+            some = b.column(b.num_columns - 1).to_pylist()
+            said, scores = [UNKNOWN] * len(some), [0.0] * len(some)
+            ok = [k for k, t in enumerate(some) if net and t and LETTER.search(t)]
+            for k, p in zip(ok, _READERS[key].read([some[k] for k in ok]) if ok else [], strict=True):
                 best = int(p.argmax())
-                said.append(net.classes[best])
-                scores.append(min(1.0, float(p[best])))
+                said[k], scores[k] = net.classes[best], round(min(1.0, float(p[best])), 6)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     d = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))

@@ -82,7 +82,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
 #: What every span that ``passes`` holds: a digit, an @, "at" in brackets, or "at" as a word before a point or "dot".
-TRIGGER = re.compile(r"[0-9@]|[(\[{]\s*(?:at|dot)\s*[)\]}]|\sdot\s|\sat(?=\s+[^\s@]+?\s*(?:\.\s*[^\s@]|[(\[{]\s*dot\s*[)\]}]|\sdot\s))", re.I)
+DOT = r"\s{0,3}(?:\.|[(\[{]\s{0,3}dot\s{0,3}[)\]}]|\sdot\s)\s{0,3}"
+AT = r"\s{0,3}(?:@|[(\[{]\s{0,3}at\s{0,3}[)\]}]|\sat\s)\s{0,3}"
+TRIGGER = re.compile(rf"[0-9@]|[(\[{{]\s{{0,3}}(?:at|dot)\s{{0,3}}[)\]}}]|\sdot\s|\sat(?=\s{{1,4}}[^\s@]+?{DOT}[^\s@])", re.I)
+#: How an address may go on behind the end of what was read.
+MORE = re.compile(rf"(?:(?<=\.)\s{{0,3}}|{DOT})[^\s@]+", re.I)
+EMAIL = re.compile(rf"[^\s@]+{AT}[^\s@]+(?:{DOT}[^\s@]+)+", re.I)
 MARGIN = 48
 SPACE = re.compile(r"\s")
 FEATURES = 1 << 13
@@ -375,10 +380,10 @@ def stretches(text: str) -> list[tuple[int, int]]:
         least = out[-1][1] if out else 0
         while a > least and not text[a - 1].isspace():
             a -= 1
-        if (to := SPACE.search(text, b)) is not None:
-            b = to.start()
-        else:
-            b = len(text)
+        to = SPACE.search(text, b)
+        b = to.start() if to else len(text)
+        while (more := MORE.match(text, b)) is not None:
+            b = more.end()
         if out and a <= out[-1][1]:
             out[-1][1] = max(b, out[-1][1])
         else:
@@ -390,11 +395,11 @@ def passes(kind: int, said: str) -> bool:
     """The check of a decoded span."""
     d = only_digits(said)
     if kind == 0:
-        return bool(re.fullmatch(r"[^\s@]+\s*(?:@|[(\[{]\s*at\s*[)\]}]|\sat\s)\s*[^\s@]+(?:\s*(?:\.|[(\[{]\s*dot\s*[)\]}]|\sdot\s)\s*[^\s@]+)+", said, re.I))
+        return EMAIL.fullmatch(said) is not None
     if kind == 1:
-        return bool(re.fullmatch(r"[0-9]{1,3}(?:\s*\.\s*[0-9]{1,3}){3}", said)) and all(int(x) < 256 for x in re.findall("[0-9]+", said))
+        return bool(re.fullmatch(r"[0-9]{1,3}(?:\s{0,3}\.\s{0,3}[0-9]{1,3}){3}", said)) and all(int(x) < 256 for x in re.findall("[0-9]+", said))
     if kind == 2:
-        return 12 <= len(d) <= 19 and luhn(d)
+        return 12 <= len(d) <= 19 and re.fullmatch("[0-9](?:[^0-9]{0,3}[0-9])+", said) is not None and luhn(d)
     return 10 <= len(d) <= 15 and bool(re.fullmatch(r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}|\+[0-9 ().-]+", said))
 
 

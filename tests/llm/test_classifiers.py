@@ -34,7 +34,7 @@ def test_gradients_are_those_of_the_loss():
 
 
 def test_language_of_held_out_texts(spark, monkeypatch):
-    monkeypatch.setattr(langid, "UNITS_IN_ALL", 3000)
+    monkeypatch.setattr(langid, "BYTES_READ", 300_000)
     r = random.Random(3)
     rows = [(i, text(r, lang, r.randrange(3, 80)), lang, "x") for i, lang in enumerate(r.choice(list(SYLLABLES)) for _ in range(240))]
     odd = [(1000, None, None, "x"), (1001, "", "aa", "x"), (1002, "12 !!", "bb", "x"), (None, text(r, "cc"), None, "x"), (1003, text(r, "bb", 9000), "bb", "x"), (1003, text(r, "bb", 20), "bb", "x"), (1004, "thing" * 4000, "aa", "x")]
@@ -50,11 +50,31 @@ def test_language_of_held_out_texts(spark, monkeypatch):
     assert {x.lang_pred for x in none.collect()} == {"und"} and langid.predict(df.limit(0), None).count() == 0
 
 
-def test_pooling_over_words_equals_pooling_over_positions():
+def test_pooling_over_windows_with_context(monkeypatch):
     net = langid.new_network(["a", "b"])
-    said = "ab cde é " + "x" * 100 + " ab"
-    p = np.concatenate([langid.positions(net, np.frombuffer(u, np.uint8)[None])[0] for u in langid.units(said)])
-    assert np.allclose(langid.Reader(net).read(said), p.mean(axis=0), atol=1e-5)
+    monkeypatch.setattr(langid, "WINDOW", 20)
+    monkeypatch.setattr(langid, "CONTEXT", 7)
+    some = ["ab cde é " + "x" * 100 + " ab", "z", "", "q" * 20, "two words and more é" * 9]
+    for piece in (1 << 20, 33):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        got = langid.Reader(net).read(some)
+        for k, t in enumerate(some):
+            b = np.frombuffer(t.encode(), np.uint8)
+            p = []
+            for part in range(0, len(b), piece):  # parts, then windows, each with the bytes around it
+                end = min(part + piece, len(b))
+                for i in range(part, end, 20):
+                    lo, hi = max(0, max(part - 7, i - 7)), min(len(b), end + 7, min(i + 20, end) + 7)
+                    p.append(langid.positions(net, b[None, lo:hi])[0][i - lo : min(i + 20, end) - lo])
+            want = np.concatenate(p).mean(axis=0) if p else np.zeros(2)
+            assert np.allclose(got[k], want, atol=1e-5)
+
+
+def test_words_have_context():
+    """The same word is read differently after different words."""
+    net = langid.new_network(["a", "b"])
+    one, two = (langid.positions(net, np.frombuffer(x.encode(), np.uint8)[None])[0][-4:] for x in ("tttt word", "zzzz word"))
+    assert np.abs(one - two).max() > 1e-4
 
 
 def test_toxic_words_and_their_misspellings(spark):

@@ -13,7 +13,7 @@ from test_classifiers import SYLLABLES, text  # noqa: E402
 
 
 def test_run(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(langid, "UNITS_IN_ALL", 3000)
+    monkeypatch.setattr(langid, "BYTES_READ", 300_000)
     r = random.Random(11)
     rows = []
     for i in range(90):
