@@ -14,8 +14,9 @@ from loomgraph.llm.common import cut
 from loomgraph.llm.queries import tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document is rejected if no language was found or its mean probability is below this.
-LEAST_SCORE = 0.3
+#: A document is rejected if no language was found, or if its mean probability is above that of a guess among the
+#: languages by less than this part of the way to certainty.
+LEAST_MARGIN = 0.1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if net is None:
         return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
     d = langid.predict(docs.select(*COLUMNS), net, keep=COLUMNS)
-    return d.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    guess = 1 / len(net.classes)
+    least = guess + LEAST_MARGIN * (1 - guess) if len(net.classes) > 1 else 0.0
+    return d.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least)).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
