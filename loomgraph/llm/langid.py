@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import cut, small_batches
 
-WINDOW, CONTEXT, HIDDEN = 448, 32, 12
+WINDOW, CONTEXT, HIDDEN = 480, 16, 12
 #: Windows that run at once; bytes of texts that are cut at once.
-AT_ONCE, PIECE = 512, 1 << 20
+AT_ONCE, PIECE = 1024, 1 << 20
 #: The network is fitted on the whole texts of DOCS_EACH rows of each language at most, in pieces of TRAINED bytes;
 #: so many times that about BYTES_READ are read, once at least and EPOCHS times at most.
 DOCS_EACH, TRAINED, BYTES_READ, EPOCHS, BATCH = 150, 96, 4_000_000, 6, 64
@@ -169,27 +169,36 @@ def train(rows: list[tuple[str, str]], seed: int = 9) -> Network | None:
     return net
 
 
-def _scores(bytes_: np.ndarray, table: np.ndarray, inner: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """What one direction adds to the logits: positions x rows x classes, of bytes (positions x rows)."""
-    n, h2 = bytes_.shape[1], 2 * HIDDEN
-    table, inner = table.copy(), inner.copy()
-    table[:, :h2] *= 0.5  # the sigmoid of x is half of tanh(x / 2), plus a half
-    inner[:, :h2] *= 0.5
-    h, x, u = np.zeros((n, HIDDEN), np.float32), np.empty((n, 3 * HIDDEN), np.float32), np.empty((n, 3 * HIDDEN), np.float32)
-    gates, states = np.empty((n, h2), np.float32), np.empty((len(bytes_), n, HIDDEN), np.float32)
+def _states(bytes_: np.ndarray, table: np.ndarray, inner: np.ndarray, live: np.ndarray | None = None) -> np.ndarray:
+    """States (positions x rows x HIDDEN) of one direction over bytes (positions x rows); where ``live`` is 0 they stay 0.
+
+    Gates are computed apart, so that every array is contiguous.
+    """
+    n = bytes_.shape[1]
+    # the sigmoid of x is half of tanh(x / 2), plus a half
+    of = [(table[:, k * HIDDEN : (k + 1) * HIDDEN] * f, inner[:, k * HIDDEN : (k + 1) * HIDDEN] * f) for k, f in enumerate(np.array([0.5, 0.5, 1.0], np.float32))]
+    of = [(np.ascontiguousarray(a), np.ascontiguousarray(b)) for a, b in of]
+    h, states = np.zeros((n, HIDDEN), np.float32), np.empty((len(bytes_), n, HIDDEN), np.float32)
+    z, r, new, u = (np.empty((n, HIDDEN), np.float32) for _ in range(4))
     for t, b in enumerate(bytes_):
-        np.take(table, b, axis=0, out=x)
-        np.matmul(h, inner, out=u)
-        np.add(x[:, :h2], u[:, :h2], out=gates)
-        np.tanh(gates, out=gates)
-        gates *= 0.5
-        gates += 0.5
-        new = np.tanh(x[:, h2:] + gates[:, HIDDEN:] * u[:, h2:])
-        np.subtract(h, new, out=h)
-        h *= gates[:, :HIDDEN]
+        for gate, (table_, inner_) in zip((z, r), of[:2], strict=True):
+            np.take(table_, b, axis=0, out=gate, mode="clip")
+            gate += np.matmul(h, inner_, out=u)
+            np.tanh(gate, out=gate)
+            gate *= 0.5
+            gate += 0.5
+        np.take(of[2][0], b, axis=0, out=new, mode="clip")
+        np.matmul(h, of[2][1], out=u)
+        u *= r
+        new += u
+        np.tanh(new, out=new)
+        h -= new
+        h *= z
         h += new
+        if live is not None:
+            h *= live[t][:, None]
         states[t] = h
-    return states @ out
+    return states
 
 
 class Reader:
@@ -232,14 +241,18 @@ class Reader:
         for i in range(0, len(order), AT_ONCE):
             w = order[i : i + AT_ONCE]
             steps = np.arange(int((b[w] - a[w]).max()))[:, None]
-            # beyond a window's end both directions read on, and nothing of it is pooled
-            ahead = _scores(buf[np.minimum(a[w] + steps, len(buf) - 1)].astype(np.intp), net.table[0], net.inner[0], net.out[:HIDDEN])
-            back = _scores(buf[np.maximum(b[w] - 1 - steps, 0)].astype(np.intp), net.table[1], net.inner[1], net.out[HIDDEN:])
-            size = own_b[w] - own_a[w]
-            row = np.repeat(np.arange(len(w)), size)
-            place = np.repeat(own_a[w] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            p = _softmax(ahead[place - a[w][row], row] + back[b[w][row] - 1 - place, row] + net.bias)
-            np.add.at(sums, text[w], np.add.reduceat(p, np.cumsum(size) - size, axis=0))
+            size = b[w] - a[w]
+            live = (steps < size).astype(np.float32)
+            x = buf[np.minimum(a[w] + steps, len(buf) - 1)].astype(np.intp)
+            ragged = int(size.min()) < len(x)
+            ahead = _states(x, net.table[0], net.inner[0])
+            back = _states(x[::-1], net.table[1], net.inner[1], live[::-1] if ragged else None)[::-1]
+            # classes first, so that sums over them run along whole arrays
+            e = net.out[:HIDDEN].T @ ahead.reshape(-1, HIDDEN).T + net.out[HIDDEN:].T @ back.reshape(-1, HIDDEN).T + net.bias[:, None]
+            e -= e.max(axis=0)
+            np.exp(e, out=e)
+            pooled = ((steps >= own_a[w] - a[w]) & (steps < own_b[w] - a[w])).reshape(-1) / e.sum(axis=0)
+            np.add.at(sums, text[w], (e * pooled).reshape(k, *x.shape).sum(axis=1).T)
         return sums
 
 
