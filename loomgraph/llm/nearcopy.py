@@ -186,12 +186,14 @@ def _likely(pairs: DataFrame, sig: DataFrame, similarity: float) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(_agree(b.column(2), b.column(3)) >= least)).select([0, 1])
 
-    p = pairs.join(sig.withColumnsRenamed({"nid": "b", "sig": "sig_b"}), "b").join(sig.withColumnsRenamed({"nid": "a", "sig": "sig_a"}), "a")
-    return p.select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a bigint, b bigint")
+    per = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    one = per.join(sig.withColumnsRenamed({"nid": "a", "sig": "sig_a"}), "a")
+    p = pairs.join(sig.withColumnsRenamed({"nid": "b", "sig": "sig_b"}), "b")
+    return join_counted(p, one, "a", "n", pairs.count()).select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a bigint, b bigint")
 
 
 def _blocks(rows: DataFrame, similarity: float) -> DataFrame:
-    """Likely pairs of different components in each bucket; rows: key, nid, root, bands, sig.
+    """Likely pairs of different components in each bucket, written; rows: key, nid, root, bands, sig.
 
     In each bucket the largest component is told from the odd rest. Nodes of one component are never sent for
     each other: those of the largest go to the blocks of odd nodes, those to all blocks of the bucket. So a few
@@ -201,8 +203,9 @@ def _blocks(rows: DataFrame, similarity: float) -> DataFrame:
     least = _least(similarity)
     by = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     by = by.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
-    by = by.select("key", F.col("top.root").alias("top"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("n_top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("n_odd"))
-    r = rows.join(by, "key").withColumn("odd", F.col("root") != F.col("top"))
+    by = by.select("key", F.col("n").alias("n_rows"), F.col("top.root").alias("top"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("n_top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("n_odd"))
+    by = cut(by.select(F.col("n_rows").alias("n"), "key", "top", "n_top", "n_odd"), "by_key")
+    r = join_counted(rows, by, "key", "n", _total(by, "n")).withColumn("odd", F.col("root") != F.col("top"))
     r = r.withColumn("own", F.pmod(F.xxhash64("nid"), F.when(F.col("odd"), F.col("n_odd")).otherwise(F.col("n_top"))).cast("int"))
     span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
@@ -268,7 +271,9 @@ def _blocks(rows: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield told(pa.Table.from_batches(held))
 
-    return r.repartition(n, *group).sortWithinPartitions(*group).mapInArrow(work, "a bigint, b bigint")
+    found = cut(r.repartition(n, *group).sortWithinPartitions(*group).mapInArrow(work, "a bigint, b bigint"), "more")
+    discard(by)
+    return found
 
 
 def _bags(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -385,23 +390,28 @@ def _classified(docs: DataFrame, similarity: float) -> DataFrame:
     """nid, node, doc_id (its least), copies, root of every distinct text of docs (doc_id, text, node)."""
     nodes = cut(_nodes(docs), "nodes")
     keys = nodes.select(F.explode("bands").alias("key"), "nid")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    member = cut(keys.join(sizes, "key"), "member")
+    sizes = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    total = _total(sizes, "n")
+    member = cut(join_counted(keys, sizes, "key", "n", total), "member")
+    discard(sizes)
     score = member.groupBy("nid").agg(F.sum("n").alias("score"))
     shared = cut(score.join(nodes.select("nid", "node", "doc_id", "bands", "sig"), "nid"), "shared")
     bags = cut(_bags(docs, shared), "bags")
-    hubs = member.join(shared.select("nid", "score"), "nid").groupBy("key").agg(F.max(F.struct("score", "nid"))["nid"].alias("hub"))
-    pairs = member.join(hubs, "key").where("nid <> hub").select(F.col("hub").alias("a"), F.col("nid").alias("b")).distinct()
+    hubs = member.join(shared.select("nid", "score"), "nid").groupBy("key")
+    hubs = cut(hubs.agg(F.max(F.struct("score", "nid"))["nid"].alias("hub"), F.count("*").alias("n")), "hubs")
+    pairs = join_counted(member.select("key", "nid"), hubs, "key", "n", total).where("nid <> hub").select(F.col("hub").alias("a"), F.col("nid").alias("b"))
+    pairs = cut(pairs.distinct(), "pairs")
     sig = shared.select("nid", "sig")
     likely = cut(_likely(pairs, sig, similarity), "likely")
     links = _verify(likely, bags, similarity)
-    discard(likely)
+    discard(hubs, pairs, likely)
     found = cut(components(links).withColumnRenamed("node", "nid"), "found")
     rows = member.join(found, "nid", "left").select("key", "nid", F.coalesce("root", "nid").alias("root"))
-    open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rows = cut(rows.join(open_keys, "key"), "open")
-    more = cut(_blocks(rows.join(shared.select("nid", "bands", "sig"), "nid"), similarity), "more")
-    discard(member, rows)
+    open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    open_keys = cut(open_keys.select("key", "n"), "open_keys")
+    rows = cut(join_counted(rows, open_keys, "key", "n", total).drop("n"), "open")
+    more = _blocks(rows.join(shared.select("nid", "bands", "sig"), "nid"), similarity)
+    discard(member, open_keys, rows)
     new = _verify(more, bags, similarity)
     discard(shared, bags, more)
     if not new.isEmpty():
