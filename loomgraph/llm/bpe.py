@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import small_batches, texts
+from loomgraph.llm.common import give_back, small_batches, texts, use_worker
 
 #: A cut where the low MASK_BITS of the rolling hash are zero, at least LEAST bytes after the last cut.
 MASK_BITS, LEAST, WINDOW = 11, 256, 32
@@ -223,11 +223,13 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", k
     small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker(_ENCODERS, _VOCABULARIES)
         e = encoder(tokenizer_path)
         for b in batches:
             some = texts(b.column(b.num_columns - 1))
             ids = [x for part in slices(some) for x in e.encode(part)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary())], names=[*keep, "ids"])
+        give_back()
 
     d = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("text"))
     types = dict(d.dtypes)
@@ -244,6 +246,7 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker(_ENCODERS, _VOCABULARIES)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = encoder(tokenizer_path).words.tokenizer
         if tok.decoder is None and tokenizer_path not in _VOCABULARIES:

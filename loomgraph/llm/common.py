@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +86,31 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+_FILLED: list[dict] = []
+
+
+def use_worker(*caches: dict) -> None:
+    """To be called where a task begins in a Python worker; ``caches`` are what its operator keeps there.
+
+    Spark gives a worker to the tasks of any operator in turn, so what another one kept goes first, and its memory
+    back to the system: a worker holds the caches of one operator, not of all that ran before.
+    """
+    left = [c for c in _FILLED if c and not any(c is x for x in caches)]
+    _FILLED[:] = caches
+    for c in left:
+        c.clear()
+    if left:
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Free memory of this process goes back to the system; else an idle worker keeps what its last task took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts(column) -> list[str]:
     """The strings of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut, small_batches
+from loomgraph.llm.common import cut, give_back, small_batches, use_worker
 
 WINDOW, CONTEXT, HIDDEN = 480, 16, 12
 #: Windows that run at once; bytes of texts that are cut at once.
@@ -299,6 +299,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", keep: tupl
         raise ValueError(f"columns {sorted(clash)} are added")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker(_READERS)
         key = net.key() if net else ""
         if net and key not in _READERS:
             _READERS.clear()
@@ -311,6 +312,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", keep: tupl
                 best = int(p.argmax())
                 said[k], scores[k] = net.classes[best], round(min(1.0, float(p[best])), 6)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+        give_back()
 
     d = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
     types = dict(d.dtypes)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.bpe import slices
-from loomgraph.llm.common import cut, discard, join_counted, small_batches, texts
+from loomgraph.llm.common import cut, discard, give_back, join_counted, small_batches, texts, use_worker
 
 SHINGLE, REGISTERS, BANDS, ROWS = 5, 512, 24, 4
 BLOCK = 384
@@ -152,6 +152,7 @@ def _nodes(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker()
         for b in batches:
             said, done = texts(b.column(2)), 0
             for part in slices(said, 2_000_000):
@@ -161,6 +162,7 @@ def _nodes(docs: DataFrame) -> DataFrame:
                 sig = pa.array([s.tobytes() for s in short], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(part)), b.column(1).slice(done, len(part)), lists, sig], names=["node", "doc_id", "bands", "sig"])
                 done += len(part)
+        give_back()
 
     signed = docs.select("node", "doc_id", "text").mapInArrow(work, "node binary, doc_id bigint, bands array<bigint>, sig binary")
     by = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
@@ -183,6 +185,7 @@ def _likely(pairs: DataFrame, sig: DataFrame, similarity: float) -> DataFrame:
     least = _least(similarity)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker()
         for b in batches:
             yield b.filter(pa.array(_agree(b.column(2), b.column(3)) >= least)).select([0, 1])
 
@@ -250,6 +253,7 @@ def _blocks(rows: DataFrame, similarity: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker()
         held: list[pa.RecordBatch] = []
         last = None
         for b in batches:
@@ -280,6 +284,7 @@ def _bags(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     t = docs.select("node", h, "text").join(nodes.select("node", h, "nid"), ["node", "h"]).dropDuplicates(["node", "h"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker()
         for b in batches:
             said, bags = texts(b.column(1)), []
             for part in slices(said, 2_000_000):
@@ -287,6 +292,7 @@ def _bags(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 for own in np.split(x, np.cumsum(n)[:-1]):
                     bags.append(np.sort(own).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in bags], pa.int64()), pa.array(bags, pa.binary())], names=["nid", "size", "bag"])
+        give_back()
 
     return t.select("nid", "text").mapInArrow(work, "nid bigint, size bigint, bag binary")
 
@@ -336,6 +342,7 @@ def _verify(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     every = own.unionByName(rest).repartition(n, "a", "slot").sortWithinPartitions("a", "slot", F.col("b").asc_nulls_first())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker()
         held = np.zeros(0, np.uint64)
         for batch in batches:
             good = []

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.bpe import slices
-from loomgraph.llm.common import small_batches, texts
+from loomgraph.llm.common import give_back, small_batches, texts, use_worker
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -434,6 +434,7 @@ def detect(docs: DataFrame, field: Field | None = None, keep: tuple[str, ...] =
     field = field or default_field()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker(_HASHES)
         for b in batches:
             said = texts(b.column(b.num_columns - 1))
             found = [x for part in slices(said) for x in find(field, part)]
@@ -443,6 +444,7 @@ def detect(docs: DataFrame, field: Field | None = None, keep: tuple[str, ...] =
             if with_text:
                 cols.append(pa.array([redact(t, y) for t, (_, y) in zip(said, found, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "base", "spans", *["redacted"] * with_text])
+        give_back()
 
     d = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"))
     types = dict(d.dtypes)
