@@ -290,6 +290,14 @@ def day_number(ts: Column) -> Column:
     return F.unix_date(F.to_date(ts))
 
 
+def rounded_day(ts: Column) -> Column:
+    """The day number of a time taken to its nearest second, halves to the even one; so the last half second of a day
+    is the next day's. Seconds are divided towards 1970, so the day before it has number 0."""
+    second = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.date_part(F.lit("SECOND"), ts)
+    whole = day_number(ts).cast("bigint") * 86400 + F.bround(second, 0).cast("bigint")
+    return F.call_function("div", whole, F.lit(86400).cast("bigint"))
+
+
 def delta_encode(ids: Column) -> Column:
     """Ascending ids as differences to the one before, the first as it is."""
     s = F.sort_array(ids)

@@ -96,3 +96,18 @@ def test_pools_take_all_candidates(spark, tables):
     d = links(tables, [[*keys, 1]])
     want = {(a, (a + n - 1) % 12 + 1, n) for a in keys for n in (2, 3, 4, 5)}
     assert {tuple(x) for x in queries.pools_bucket_sample(spark, d).collect()} == want
+
+
+def test_days_are_those_of_the_rounded_second(spark, tables):
+    """The SQL of these queries rounds times to seconds before it takes their day, halves to the even second."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    times = ["2024-01-01 23:59:59.5", "2024-01-01 23:59:59.499999", "2024-01-02 12:00:00.5", "2024-01-04 23:59:59.999999", "2024-01-05 00:00:00", "1969-12-31 23:59:59.6", "1969-12-30 01:00:00", "1970-01-01 00:00:00"]
+    spark.sql(f"SELECT * FROM VALUES {', '.join(f"({i}L, 7L, TIMESTAMP_NTZ '{t}', 'view')" for i, t in enumerate(times))} AS t(event_id, user_id, ts, event_type)").write.parquet(f"{(d := tables('unused', [(1,)], 'a int'))}/events.parquet")
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet/*.parquet'")
+    for name in ("game_scalars",):
+        got = sorted(tuple(x) for x in entry.queries()[name](spark, d).collect())
+        assert got == sorted(sql.execute(entry.oracle_sql()[name]).fetchall()), name
