@@ -186,7 +186,7 @@ def category_labels(spark, d):
 
 @query("SELECT event_id, (CASE WHEN n >= 1 THEN n END)::INT AS number FROM (SELECT event_id, (epoch(ts)::BIGINT // 86400)::BIGINT + 900 - 20683 + 1 AS n FROM events)")
 def daily_numbers(spark, d):
-    return table(spark, d, "events").select("event_id", assembly.daily_number(F.date_add(F.to_date("ts"), 900)).alias("number"))
+    return table(spark, d, "events").select("event_id", assembly.daily_number(F.date_add(F.date_from_unix_date(T.rounded_day(F.col("ts")).cast("int")), 900)).alias("number"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN (o_orderkey * 1000003)::HUGEINT::DECIMAL(20,0) END AS run FROM orders")

@@ -108,6 +108,6 @@ def test_days_are_those_of_the_rounded_second(spark, tables):
     spark.sql(f"SELECT * FROM VALUES {', '.join(f"({i}L, 7L, TIMESTAMP_NTZ '{t}', 'view')" for i, t in enumerate(times))} AS t(event_id, user_id, ts, event_type)").write.parquet(f"{(d := tables('unused', [(1,)], 'a int'))}/events.parquet")
     sql = duckdb.connect()
     sql.execute(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet/*.parquet'")
-    for name in ("game_scalars",):
+    for name in ("game_scalars", "streaks", "daily_numbers"):
         got = sorted(tuple(x) for x in entry.queries()[name](spark, d).collect())
         assert got == sorted(sql.execute(entry.oracle_sql()[name]).fetchall()), name
