@@ -79,7 +79,8 @@ def nearest(queries: DataFrame, points: DataFrame, cell: float | None = None) ->
 
     Points are dealt by grid cell; a query looks into the five by five cells around its own, so no cross join
     arises. Queries whose best is not surely nearer than the unsearched border look again in a grid of four times
-    the cell, until one cell would hold all. Without a cell the first grid has about one cell a point.
+    the cell, until one cell would hold all. Without a cell the first grid has about one cell a point. Both joins
+    are asked to sort: the planner takes a query's 25 copies for one row, and would send them to every executor.
     """
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
     left = cut(queries.where(finite("x") & finite("y")).select("query", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
@@ -98,14 +99,14 @@ def nearest(queries: DataFrame, points: DataFrame, cell: float | None = None) ->
     while True:
         at = lambda c, cell=cell: F.floor(F.col(c) / cell)
         near = lambda c: F.explode(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda d: at(c) + d))  # noqa: B023, E731
-        j = left.withColumn("i", near("x")).withColumn("j", near("y")).join(p.withColumn("i", at("u")).withColumn("j", at("v")), ["i", "j"])
+        j = left.withColumn("i", near("x")).withColumn("j", near("y")).join(p.withColumn("i", at("u")).withColumn("j", at("v")).hint("merge"), ["i", "j"])
         best = j.groupBy("query").agg(F.min(F.struct(d2.alias("d2"), "id")).alias("b")).select("query", F.col("b.id").alias("id"), F.col("b.d2").alias("d2"))
         last = cell >= extent
         best = cut(best if last else best.where(F.col("d2") < (1.99 * cell) ** 2))
         found = found.unionByName(best)
         if last:
             return found
-        left = cut(left.join(best.select("query"), "query", "left_anti"))
+        left = cut(left.join(best.select("query").hint("merge"), "query", "left_anti"))
         if left.isEmpty():
             return found
         cell *= 4

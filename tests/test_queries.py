@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.operators import layout
 from loomgraph.plans import queries
@@ -70,6 +71,14 @@ def test_nearest_points_far_off(spark):
     assert layout.nearest(a, p.limit(0)).count() == 0 == layout.nearest(a.limit(0), p).count()
 
 
+def test_nearest_points_are_not_broadcast(spark, monkeypatch):
+    plans, cut = [], layout.cut
+    monkeypatch.setattr(layout, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    pts = spark.range(40).select("id", (F.col("id") * 7 % 40).cast("double").alias("x"), F.col("id").cast("double").alias("y"))
+    assert layout.nearest(pts.withColumnRenamed("id", "query"), pts, 0.1).count() == 40
+    assert sum("Join" in x for x in plans) > 1 and not any("Broadcast" in x for x in plans)
+
+
 def test_votes_of_members_past_the_fortieth(spark, tables):
     d = parts(tables, range(1, 201), lambda k: f"B{k % 2}", lambda k: "EARLY ONE" if k <= 20 else f"LATER {k % 2}")
     got = {(x.community, x.category, x.votes, x["rank"]) for x in queries.region_votes(spark, d).collect()}
