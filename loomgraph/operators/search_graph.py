@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.plans.lineage import cut
+from loomgraph.plans.lineage import cut, fit
 
 #: Path counts saturate here.
 MOST = 18446744073709551615
@@ -59,40 +59,50 @@ def path_counts(edges: DataFrame, pairs: DataFrame, max_depth: int, banned: Data
     """pair_id, length, paths: the length and number of shortest paths of each pair (pair_id, src, dst).
 
     Both ends are exempt from ``banned``. Pairs farther apart than ``max_depth`` are absent; src = dst has
-    length 0 and no path to count. Counts saturate at MOST. Frontiers meet in the middle: half the depth is
-    walked from either end, and products are summed over the cut at half the length.
+    length 0 and no path to count. Counts saturate at MOST. Frontiers are walked from either end in turn; a pair is at
+    as many links as levels were walked when its two last levels first share a node, each of its shortest paths
+    crosses them at one node, and it is walked no farther.
     """
     e = cut(edges)
-    inner, banned = e, None if banned is None else cut(banned.select("id"))
-    half_f, half_b = (max_depth + 1) // 2, max_depth // 2
-    number = F.lit(1).cast("decimal(38,0)")
+    banned = None if banned is None else cut(banned.select("id"))
+    n_banned = banned.count() if banned is not None else 0
+    most = F.lit(str(MOST)).cast("decimal(38,0)")
     p = cut(pairs.select("pair_id", "src", "dst"))
-
-    def walk(start: str, a: str, b: str, depth: int) -> DataFrame:
-        level = p.select("pair_id", F.col(start).alias("v"), F.lit(0).alias("d"), number.alias("n"))
-        seen = level
-        goal = "dst" if start == "src" else "src"
-        for k in range(1, depth + 1):
-            step = level.join(inner.select(F.col(a).alias("v"), F.col(b).alias("w")), "v").groupBy("pair_id", F.col("w").alias("v")).agg(F.sum("n").alias("n"))
-            if banned is not None:
-                ends = p.select("pair_id", F.col(goal).alias("v"))
-                step = step.join(banned.select(F.col("id").alias("v")), "v", "left_anti").unionByName(step.join(ends, ["pair_id", "v"], "left_semi").join(banned.select(F.col("id").alias("v")), "v", "left_semi"))
-            step = step.join(seen.select("pair_id", "v"), ["pair_id", "v"], "left_anti")
-            level = cut(step.select("pair_id", "v", F.lit(k).alias("d"), F.least("n", F.lit(str(MOST)).cast("decimal(38,0)")).cast("decimal(38,0)").alias("n")))
-            if level.isEmpty():
-                break
-            seen = seen.unionByName(level)
-        return seen
-
-    f, g = walk("src", "src", "dst", half_f), walk("dst", "dst", "src", half_b)
-    met = f.join(g.select("pair_id", "v", F.col("d").alias("e"), F.col("n").alias("m")), ["pair_id", "v"]).withColumn("length", F.col("d") + F.col("e"))
-    best = met.groupBy("pair_id").agg(F.min("length").alias("length"))
-    # each shortest path crosses depth ceil(length / 2) from its start exactly once
-    cross = met.join(best, ["pair_id", "length"]).where(F.col("d") == F.ceil(F.col("length") / 2))
     product = F.least(F.col("n").cast("double") * F.col("m").cast("double"), F.lit(float(MOST)))
-    exact = F.when(product < 9e15, (F.col("n").cast("bigint") * F.col("m").cast("bigint")).cast("decimal(38,0)")).otherwise(F.lit(str(MOST)).cast("decimal(38,0)"))
-    out = cross.groupBy("pair_id", "length").agg(F.least(F.sum(exact), F.lit(str(MOST)).cast("decimal(38,0)")).alias("paths"))
-    return out.withColumn("paths", F.when(F.col("length") == 0, F.lit(1)).otherwise(F.col("paths")).cast("decimal(20,0)"))
+    exact = F.when(product < 9e15, (F.col("n").cast("bigint") * F.col("m").cast("bigint")).cast("decimal(38,0)")).otherwise(most)
+
+    def start(a: str, b: str) -> dict:
+        level = p.select("pair_id", F.col(a).alias("v"), F.col(b).alias("goal"), F.lit(1).cast("decimal(38,0)").alias("n"))
+        return {"by": a, "to": b, "level": level, "rows": p.count(), "seen": level.select("pair_id", "v"), "told": p.count()}
+
+    def walk(x: dict) -> None:
+        links = e.select(F.col(x["by"]).alias("v"), F.col(x["to"]).alias("w"))
+        step = links.join(fit(x["level"], x["rows"]), "v").groupBy("pair_id", F.col("w").alias("v"), "goal").agg(F.sum("n").alias("n"))
+        step = step.join(fit(x["seen"], x["told"]), ["pair_id", "v"], "left_anti")
+        if n_banned:
+            bad = banned.select(F.col("id").alias("v"), F.lit(True).alias("bad"))
+            step = step.join(fit(bad, n_banned), "v", "left").where("bad IS NULL OR v = goal")
+        x["level"] = cut(step.select("pair_id", "v", "goal", F.least("n", most).cast("decimal(38,0)").alias("n")))
+        x["rows"] = x["level"].count()
+        x["seen"], x["told"] = x["seen"].unionByName(x["level"].select("pair_id", "v")), x["told"] + x["rows"]
+
+    f, g = start("src", "dst"), start("dst", "src")
+    out = None
+    for length in range(max_depth + 1):
+        if length:
+            walk(f if length % 2 else g)
+        less, more = sorted((f, g), key=lambda x: x["rows"])
+        other = less["level"].select("pair_id", "v", F.col("n").alias("m"))
+        met = more["level"].join(fit(other, less["rows"]), ["pair_id", "v"])
+        met = cut(met.groupBy("pair_id").agg(F.least(F.sum(exact), most).alias("paths")).select("pair_id", F.lit(length).alias("length"), "paths"))
+        out = met if out is None else out.unionByName(met)
+        n = met.count()
+        for x in (f, g) if n else ():
+            x["level"] = cut(x["level"].join(fit(met.select("pair_id"), n), "pair_id", "left_anti"))
+            x["rows"] = x["level"].count()
+        if not f["rows"] or not g["rows"]:
+            break
+    return out.select("pair_id", "length", F.when(F.col("length") == 0, F.lit(1)).otherwise(F.col("paths")).cast("decimal(20,0)").alias("paths"))
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int, banned: DataFrame | None = None) -> DataFrame:

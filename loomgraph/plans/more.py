@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as T
 from loomgraph.operators import assembly, degrees, pools, puzzles
 from loomgraph.operators import search_graph as bfs
+from loomgraph.plans.lineage import cut
 from loomgraph.plans.queries import COMPONENTS, RANKED, SITES, connected_components, deg, pool, ranked, sites
 from loomgraph.plans.registry import query
 from loomgraph.plans.tablegraph import GRAPH, NODES_SQL, RECURSIVE, edges, nodes, table
@@ -22,13 +23,15 @@ CLAIMED = """claimed AS (SELECT CASE id % 2 WHEN 0 THEN 'easy' ELSE 'medium' END
 
 
 def board(spark: S, d: str) -> puzzles.Board:
-    n = deg(spark, d)
+    """Edges and degrees are made once, as a race reads them many times."""
+    e = cut(edges(spark, d))
+    n = cut(degrees.with_degrees(nodes(spark, d), e).select("id", "in_degree", "out_degree", "community"))
     k = F.col("id")
     claimed = nodes(spark, d).select(
         F.when(k % 2 == 0, "easy").otherwise("medium").alias("difficulty"), (k % 4 + 3).cast("int").alias("par"), k.alias("src"),
         ((k * 37 + 11) % 1000).alias("dst"), (k * 31 % 17).alias("routes"),
     )
-    return puzzles.Board(n.select("id", "in_degree", "community"), edges(spark, d), n.where("out_degree >= 10").select("id"), claimed)
+    return puzzles.Board(n.select("id", "in_degree", "community"), e, n.where("out_degree >= 10").select("id"), claimed)
 
 
 def _race_sql(tries: str, ban: int | None, least: int, most: int) -> str:

@@ -121,3 +121,25 @@ def test_review_has_reasons_in_order(spark):
     got = assembly.review(spark.createDataFrame(races, "difficulty string, src long, dst long, src_title string, dst_title string, views long"), [("t9", "t10")]).collect()
     why = {(r.difficulty, r.src): r.reason for r in got}
     assert len(got) == 20 and why["easy", 9] == "showcase" and why["easy", 0] == why["easy", 1] == "least familiar" and why["hard", 7] == "least familiar"
+
+
+def test_a_search_stops_where_its_ends_meet_and_writes_no_edges_again(spark, monkeypatch):
+    from loomgraph.operators import search_graph
+    from loomgraph.plans import lineage
+
+    written, write = [], lineage.cut
+    e = write(spark.createDataFrame([(k, (k + 1) % 40) for k in range(40)], "src long, dst long"))
+    monkeypatch.setattr(search_graph, "cut", lambda df: (written.append(df), write(df))[1])
+    pairs = spark.createDataFrame([(1, 0, 4), (2, 9, 9), (3, 5, 6)], "pair_id long, src long, dst long")
+    bans = spark.createDataFrame([(4,), (30,)], "id long")
+    got = {(r.pair_id, r.length, int(r.paths)) for r in search_graph.path_counts(e, pairs, 30, bans).collect()}
+    assert got == {(1, 4, 1), (2, 0, 1), (3, 1, 1)}
+    assert write(e) is e and sum(set(x.columns) >= {"v", "n"} for x in written) <= 10
+
+
+def test_large_tables_of_a_search_are_not_broadcast(spark):
+    from loomgraph.plans import lineage
+
+    t = spark.range(10)
+    plan = lambda n: t.join(lineage.fit(t, n), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan(lineage.SMALL) and "Broadcast" not in plan(lineage.SMALL + 1)
