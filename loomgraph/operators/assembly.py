@@ -10,6 +10,7 @@ from loomgraph.operators.degrees import core, induced
 from loomgraph.operators.ingest import redirect_closure
 from loomgraph.operators.pools import EPOCH_DAY
 from loomgraph.operators.regions import resolve_index
+from loomgraph.plans.lineage import cut
 
 #: Collisions that are told, articles that an explorer shows, points of a segment, races of a review.
 COLLISIONS, SHOWN, SEGMENT, REVIEWED = 50, 24, 1500, 20
@@ -144,17 +145,26 @@ def review(races: DataFrame, showcase: list[tuple[str, str]], most: int = REVIEW
     First those of the showcase, then of each difficulty the two with the least views and the first with the end that
     recurs most; then others by hash, till there are ``most``.
     """
-    r = races.withColumn("h", F.md5(F.concat_ws(":", "difficulty", "src", "dst", F.lit(str(seed)))))
     listed = F.lit(False)
     for a, b in showcase:
         listed = listed | ((F.col("src_title") == a) & (F.col("dst_title") == b))
-    low = F.row_number().over(Window.partitionBy("difficulty").orderBy("views", "src", "dst"))
+    # a number for each race, as races may recur; then a few rows are found by aggregates, so that no task holds a difficulty
+    r = cut(races.select("difficulty", "src", "dst", "views", F.coalesce(listed, F.lit(False)).alias("listed"), F.monotonically_increasing_id().alias("row")).where("difficulty IS NOT NULL"))
     ends = r.select("difficulty", F.explode(F.array("src", "dst")).alias("end")).groupBy("difficulty", "end").agg(F.count("*").alias("n"))
     top = ends.groupBy("difficulty").agg(F.max(F.struct("n", (-F.col("end")).alias("minus"))).alias("top")).select("difficulty", (-F.col("top.minus")).alias("often"))
-    r = r.join(top, "difficulty")
+    whole = F.struct("difficulty", "src", "dst", "views", "listed", "row").alias("whole")
+    by_views = F.struct("views", "src", "dst", "row")
+    least = r.groupBy("difficulty").agg(F.min(F.struct(by_views.alias("at"), whole)).alias("b"))
+    second = r.join(F.broadcast(least.select("difficulty", F.col("b.at").alias("first"))), "difficulty").where(by_views > F.col("first"))
+    second = second.groupBy("difficulty").agg(F.min(F.struct(by_views.alias("at"), whole)).alias("b"))
     has = (F.col("src") == F.col("often")) | (F.col("dst") == F.col("often"))
-    one = F.row_number().over(Window.partitionBy("difficulty", has).orderBy("src", "dst"))
-    reason = F.when(listed, "showcase").when(F.col("low") <= 2, "least familiar").when(has & (F.col("one") == 1), "repeated end").otherwise("spot check")
-    r = r.withColumn("low", low).withColumn("one", one).withColumn("reason", reason)
-    rank = F.when(F.col("reason") == "spot check", 1).otherwise(0)
-    return r.withColumn("rank", rank).orderBy("rank", "h").limit(most).select("difficulty", "src", "dst", "reason")
+    one = r.join(F.broadcast(top), "difficulty").where(has).groupBy("difficulty").agg(F.min(F.struct(F.struct("src", "dst", "row").alias("at"), whole)).alias("b"))
+    told = lambda df, reason, order: df.select("b.whole.*", F.lit(reason).alias("reason"), F.lit(order).alias("o"))
+    special = told(least, "least familiar", 0).unionByName(told(second, "least familiar", 0)).unionByName(told(one, "repeated end", 1))
+    special = special.where(~F.col("listed")).groupBy("row").agg(F.min(F.struct("o", "difficulty", "src", "dst", "reason")).alias("b")).select("row", "b.difficulty", "b.src", "b.dst", "b.reason")
+    special = cut(special)  # three rows a difficulty at most
+    h = F.md5(F.concat_ws(":", "difficulty", "src", "dst", F.lit(str(seed))))
+    out = r.where("listed").select("row", "difficulty", "src", "dst", F.lit("showcase").alias("reason")).orderBy(h, "row").limit(most)
+    rest = r.where("NOT listed").join(F.broadcast(special.select("row")), "row", "left_anti").select("row", "difficulty", "src", "dst", F.lit("spot check").alias("reason")).orderBy(h, "row").limit(most)
+    out = out.unionByName(special).unionByName(rest).withColumn("rank", F.when(F.col("reason") == "spot check", 1).otherwise(0))
+    return out.orderBy("rank", h, "row").limit(most).select("difficulty", "src", "dst", "reason")
